@@ -64,15 +64,6 @@ class Axis:
     def bfill(self, c: Column | str) -> Column:
         return F.first(col(c), ignorenulls=True).over(self.rows(0, UNBOUNDED_AHEAD))
 
-    def beta(self, y: Column | str, x: Column | str, n: int = 252, min_count: int = 63) -> Column:
-        """Rolling covariance of complete pairs over the factor's own rolling variance."""
-        w = self.rows(-(n - 1), 0)
-        y, x = col(y), col(x)
-        pairs = F.count(F.when(y.isNotNull() & x.isNotNull(), 1)).over(w)
-        cov = F.when(pairs >= min_count, F.covar_samp(y, x).over(w))
-        var = F.when(F.count(x).over(w) >= min_count, F.var_samp(x).over(w))
-        return safe_ratio(cov, var)
-
     def zscore(self, c: Column | str, n: int = 252, min_count: int = 63) -> Column:
         mean = self.roll(F.avg, c, n, min_count)
         std = self.roll(F.stddev_samp, c, n, min_count)
@@ -94,6 +85,58 @@ def pct_change(df: DataFrame, axis: Axis, spec: dict[str, tuple[str, int]], fill
     return out.drop(*[f"_pad_{c}" for c in used])
 
 
+def rolling_means(df: DataFrame, axis: Axis, c: str, spans: dict[str, int], digits: int = 4) -> DataFrame:
+    """Full-window means of a column published at ``digits`` decimals, by exact prefix sums.
+
+    The column is taken in integer units of its last digit, so one running sum serves every span, costs the same
+    per row whatever the span, and has no rounding drift or dependence on the order of addition.
+    """
+    unit = 10**digits
+    base = df.withColumns({"_u": F.round(F.col(c) * unit).cast("bigint")})
+    base = base.withColumns({"_s": axis.running(F.sum, "_u"), "_c": axis.running(F.count, "_u")})
+    zero = F.lit(0).cast("bigint")
+
+    def mean(n: int) -> Column:
+        total = F.coalesce("_s", zero) - F.coalesce(axis.shift("_s", n), zero)
+        count = F.col("_c") - F.coalesce(axis.shift("_c", n), zero)
+        return F.when(count >= n, total.cast("double") / F.lit(float(n * unit)))
+
+    return base.withColumns({out: mean(n) for out, n in spans.items()}).drop("_u", "_s", "_c")
+
+
+def rolling_extremes(
+    df: DataFrame, axis: Axis, spec: dict[str, tuple[str, str]], n: int = 252, min_count: int = 1
+) -> DataFrame:
+    """Rolling ``max``/``min`` over long windows without re-reading the window at every row.
+
+    Rows are cut into blocks of a quarter window. A window is then the running extreme of the current block, the
+    extreme of the three blocks before it (a frame over the block number, evaluated once per block) and the
+    extreme from a position to the end of its block. ``spec`` maps an output to (``"max"``/``"min"``, column).
+    """
+    if n % 4:
+        raise ValueError("window length must be a multiple of 4")
+    size = n // 4
+    block = F.floor((F.row_number().over(axis.ordered()) - 1) / F.lit(size)).cast("int")
+    cut = df.withColumn("_b", block)
+    inner = Window.partitionBy(*axis.by, "_b").orderBy(axis.on)
+    before = Window.partitionBy(*axis.by).orderBy("_b").rangeBetween(-3, -1)
+    cols: dict[str, Column] = {}
+    for out, (kind, c) in spec.items():
+        fn = {"max": F.max, "min": F.min}[kind]
+        cols[f"_p_{out}"] = fn(c).over(inner.rowsBetween(UNBOUNDED_BACK, 0))
+        cols[f"_t_{out}"] = fn(c).over(inner.rowsBetween(0, UNBOUNDED_AHEAD))
+        cols[f"_m_{out}"] = fn(c).over(before)
+        cols[f"_c_{out}"] = axis.running(F.count, c)
+    cut = cut.withColumns(cols)
+    res: dict[str, Column] = {}
+    for out, (kind, _) in spec.items():
+        pick = F.greatest if kind == "max" else F.least
+        count = F.col(f"_c_{out}") - F.coalesce(axis.shift(f"_c_{out}", n), F.lit(0))
+        value = pick(F.col(f"_p_{out}"), F.col(f"_m_{out}"), axis.shift(f"_t_{out}", n - 1))
+        res[out] = F.when(count >= min_count, value)
+    return cut.withColumns(res).drop("_b", *cols)
+
+
 def drawdown(df: DataFrame, axis: Axis, value: str, out: str = "drawdown") -> DataFrame:
     """Relative distance from the running maximum."""
     return df.withColumn(out, safe_ratio(value, axis.running(F.max, value)) - 1)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.numeric import safe_ln, safe_ratio
-from panelforge.functions.windows import Axis
+from panelforge.functions.recursive import beta_step, grouped
+from panelforge.functions.windows import Axis, rolling_extremes
 
 TRADING_DAYS = 252
 ANNUAL = math.sqrt(252.0)
@@ -36,12 +37,12 @@ def volume_ratio(axis: Axis, vol: str, n: int = 20) -> Column:
     return safe_ratio(vol, axis.roll(F.avg, vol, n))
 
 
-def range_position(axis: Axis, c: str, hi: str, lo: str, n: int = 252, min_count: int = 63) -> dict[str, Column]:
+def range_position(df: DataFrame, axis: Axis, c: str, hi: str, lo: str, n: int = 252, min_count: int = 63) -> DataFrame:
     """Price against the rolling high and low."""
-    return {
-        "price_to_52w_high": safe_ratio(c, axis.roll(F.max, hi, n, min_count)),
-        "price_to_52w_low": safe_ratio(c, axis.roll(F.min, lo, n, min_count)),
-    }
+    out = rolling_extremes(df, axis, {"_top": ("max", hi), "_bottom": ("min", lo)}, n, min_count)
+    return out.withColumns(
+        {"price_to_52w_high": safe_ratio(c, "_top"), "price_to_52w_low": safe_ratio(c, "_bottom")}
+    ).drop("_top", "_bottom")
 
 
 def band_features(c: str, upper: str = "bb_upper", middle: str = "bb_middle", lower: str = "bb_lower") -> dict[str, Column]:
@@ -74,9 +75,9 @@ def targets(df: DataFrame, axis: Axis, c: str, log_ret: str, cutoff_calendar_day
     return blank_after_cutoff(out, axis, ["target_return_21d", "target_vol_5d"], cutoff_calendar_days)
 
 
-def betas(axis: Axis, ret: str, factors: dict[str, str], n: int = 252, min_count: int = 63) -> dict[str, Column]:
+def with_betas(df: DataFrame, axis: Axis, ret: str, factors: dict[str, str]) -> DataFrame:
     """Rolling sensitivities of ``ret`` to each factor; ``factors`` maps output to factor column."""
-    return {out: axis.beta(ret, f, n, min_count) for out, f in factors.items()}
+    return grouped(df, axis, [beta_step(ret, factors)])
 
 
 def relative_strength(own: str, index: str) -> Column:
@@ -85,14 +86,13 @@ def relative_strength(own: str, index: str) -> Column:
 
 def add_price_features(df: DataFrame, axis: Axis, price: str) -> DataFrame:
     """Returns, momentum, volatility, ratios and availability flags on bars with indicators."""
-    out = df.withColumns(
+    out = range_position(df, axis, price, "hi", "lo").withColumns(
         {
             **simple_returns(axis, price),
             "log_return_1d": log_return(axis, price),
             **momentum(axis, price),
             "volume_ratio_20d": volume_ratio(axis, "vol"),
             **{f"price_to_sma{n}": safe_ratio(price, f"sma_{n}") for n in (20, 50, 200)},
-            **range_position(axis, price, "hi", "lo"),
             **band_features(price),
             "obv_change_5d": axis.pct_change("obv", 5),
         }

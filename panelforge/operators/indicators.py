@@ -7,25 +7,26 @@ Warm-up rows are NULL everywhere.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from panelforge.functions.numeric import floor_round, nullify_nan, safe_ratio
-from panelforge.functions.recursive import ema, wilder
-from panelforge.functions.windows import Axis
+from panelforge.functions.numeric import floor_round, safe_ratio
+from panelforge.functions.recursive import Step, ema, grouped, wilder
+from panelforge.functions.windows import Axis, rolling_means
 
 
-def sma(axis: Axis, c: str, n: int) -> Column:
-    return axis.roll(F.avg, c, n)
+def smas(df: DataFrame, axis: Axis, c: str, spans: tuple[int, ...] = (20, 50, 200)) -> DataFrame:
+    """Simple moving averages ``sma_n`` over full windows."""
+    return rolling_means(df, axis, c, {f"sma_{n}": n for n in spans})
 
 
-def bollinger(axis: Axis, c: str, n: int = 20, k: float = 2.0) -> dict[str, Column]:
+def bollinger(df: DataFrame, axis: Axis, c: str, n: int = 20, k: float = 2.0) -> DataFrame:
     """Bands at ``k`` population standard deviations around the mean."""
-    mid, dev = axis.roll(F.avg, c, n), axis.roll(F.stddev_pop, c, n)
-    return {"bb_upper": mid + dev * k, "bb_middle": mid, "bb_lower": mid - dev * k}
+    mid = rolling_means(df, axis, c, {"bb_middle": n}).withColumn("_dev", axis.roll(F.stddev_pop, c, n))
+    return mid.withColumns(
+        {"bb_upper": F.col("bb_middle") + F.col("_dev") * k, "bb_lower": F.col("bb_middle") - F.col("_dev") * k}
+    ).drop("_dev")
 
 
 def stochastic(df: DataFrame, axis: Axis, n: int = 14, smooth: int = 3) -> DataFrame:
@@ -48,39 +49,40 @@ def vwap_deviation(price: str, vwap: str) -> Column:
 RECURSIVE = ("ema_9", "ema_21", "macd", "macd_signal", "macd_hist", "rsi_14", "atr_14", "adx_14")
 
 
-def _smooth(pdf: pd.DataFrame, on: str, price: str) -> pd.DataFrame:
-    pdf = pdf.sort_values(on, ignore_index=True)
-    p, hi, lo, cl = (pdf[c].astype("float64") for c in (price, "hi", "lo", "cl"))
-    line = ema(p, 12) - ema(p, 26)
-    signal = ema(line, 9)
-    move = p.diff()
-    up, down = wilder(move.clip(lower=0.0), 14), wilder((-move).clip(lower=0.0), 14)
-    rsi = (100.0 - 100.0 / (1.0 + up / down.where(down != 0))).mask(down == 0, 100.0)
-    prev = cl.shift(1)
-    reach = pd.concat([hi - lo, (hi - prev).abs(), (lo - prev).abs()], axis=1).max(axis=1)
-    rise, fall = hi.diff(), -lo.diff()
-    plus = rise.where((rise > fall) & (rise > 0), 0.0).mask(rise.isna())
-    minus = fall.where((fall > rise) & (fall > 0), 0.0).mask(fall.isna())
-    base = wilder(reach.mask(prev.isna()), 14)
-    base = base.where(base != 0)
-    di_up, di_down = wilder(plus, 14) / base * 100.0, wilder(minus, 14) / base * 100.0
-    both = di_up + di_down
-    dx = (di_up - di_down).abs() / both.where(both != 0) * 100.0
-    return pdf.assign(
-        ema_9=ema(p, 9), ema_21=ema(p, 21), macd=line, macd_signal=signal, macd_hist=line - signal, rsi_14=rsi,
-        atr_14=wilder(reach, 14), adx_14=wilder(dx, 14),
-    )
-
+def recursive_step(price: str) -> Step:
+    """Exponential means, MACD, RSI, ATR and ADX from ``hi``, ``lo``, ``cl`` and a price column."""
+
+    def smooth(pdf: pd.DataFrame) -> dict[str, pd.Series]:
+        p, hi, lo, cl = (pdf[c].astype("float64") for c in (price, "hi", "lo", "cl"))
+        line = ema(p, 12) - ema(p, 26)
+        signal = ema(line, 9)
+        move = p.diff()
+        up, down = wilder(move.clip(lower=0.0), 14), wilder((-move).clip(lower=0.0), 14)
+        prev = cl.shift(1)
+        reach = pd.concat([hi - lo, (hi - prev).abs(), (lo - prev).abs()], axis=1).max(axis=1)
+        rise, fall = hi.diff(), -lo.diff()
+        plus = rise.where((rise > fall) & (rise > 0), 0.0).mask(rise.isna())
+        minus = fall.where((fall > rise) & (fall > 0), 0.0).mask(fall.isna())
+        base = wilder(reach.mask(prev.isna()), 14)
+        base = base.where(base != 0)
+        di_up, di_down = wilder(plus, 14) / base * 100.0, wilder(minus, 14) / base * 100.0
+        both = di_up + di_down
+        return {
+            "ema_9": ema(p, 9),
+            "ema_21": ema(p, 21),
+            "macd": line,
+            "macd_signal": signal,
+            "macd_hist": line - signal,
+            "rsi_14": (100.0 - 100.0 / (1.0 + up / down.where(down != 0))).mask(down == 0, 100.0),
+            "atr_14": wilder(reach, 14),
+            "adx_14": wilder((di_up - di_down).abs() / both.where(both != 0) * 100.0, 14),
+        }
 
-def with_recursive(df: DataFrame, axis: Axis, price: str = "cl") -> DataFrame:
-    """Add exponential means, MACD, RSI, ATR and ADX; needs ``hi``, ``lo``, ``cl`` and the price column."""
-    schema = T.StructType(df.schema.fields + [T.StructField(c, T.DoubleType()) for c in RECURSIVE])
-    on, names = axis.on, [f.name for f in schema.fields]
+    return RECURSIVE, smooth
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _smooth(pdf, on, price)[names].replace([np.inf, -np.inf], np.nan)
 
-    return nullify_nan(df.groupBy(*axis.by).applyInPandas(run, schema))
+def with_recursive(df: DataFrame, axis: Axis, price: str = "cl") -> DataFrame:
+    return grouped(df, axis, [recursive_step(price)])
 
 
 INDICATORS = (
@@ -92,13 +94,7 @@ WARMUP = ("sma_20", "sma_50", "sma_200", "ema_9", "ema_21", "macd", "rsi_14")
 
 def windowed(df: DataFrame, axis: Axis, price: str = "cl") -> DataFrame:
     """All indicators that are plain window expressions; needs a ``vwap`` column."""
-    out = df.withColumns(
-        {
-            **{f"sma_{n}": sma(axis, price, n) for n in (20, 50, 200)},
-            **bollinger(axis, price),
-            "vwap_dev": vwap_deviation(price, "vwap"),
-        }
-    )
+    out = bollinger(smas(df, axis, price), axis, price).withColumn("vwap_dev", vwap_deviation(price, "vwap"))
     return on_balance_volume(stochastic(out, axis), axis)
 
 
