@@ -76,7 +76,7 @@ def rank_many(
     df: DataFrame,
     keys: Sequence[str],
     specs: Sequence[tuple[str, str, Sequence[str], int]],
-    digits: int = 6,
+    digits: int | None = 6,
 ) -> DataFrame:
     """Several percentile ranks in one pass: ``specs`` holds (out, value column, group columns, min count).
 
@@ -96,8 +96,9 @@ def rank_many(
     long = df.select(*keys, F.explode(items).alias("i")).select(*keys, "i.name", "i.grp", "i.x").where("x is not null")
     need = F.create_map(*[F.lit(v) for out, _, _, k in specs for v in (out, k)])
     table = position_table(long, ["name", "grp"], "x")
+    pct = average_rank() / F.col("_total")
     ranks = table.where(F.col("_total") >= need[F.col("name")]).select(
-        "name", "grp", F.col("_x").alias("x"), floor_round(average_rank() / F.col("_total"), digits).alias("pct")
+        "name", "grp", F.col("_x").alias("x"), (pct if digits is None else floor_round(pct, digits)).alias("pct")
     )
     wide = (
         long.join(ranks, ["name", "grp", "x"])
