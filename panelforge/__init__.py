@@ -1 +1,8 @@
 """Panel analytics on Spark: DataFrame-in, DataFrame-out operators for (entity, date) panels."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel by value, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -24,17 +24,22 @@ def asof_join(
     direction: str = "backward",
     strict: bool = False,
     left_unique: bool = False,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Left columns plus ``take`` (and ``right_on`` if listed) from the matched right row, NULL without a match.
 
     ``strict`` excludes equal times. ``left_unique=True`` states that (by, left_on) is unique on the left, which
-    saves the distinct and the join back. (by, right_on) must be unique on the right.
+    saves the distinct and the join back. (by, right_on) must be unique on the right. ``probe`` may name a cheaper
+    frame holding all (by, left_on) pairs of the left, when the left itself is costly to compute twice.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be 'backward' or 'forward'")
     keys = list(by)
     own = [c for c in left.columns if c not in keys] if left_unique else [left_on]
-    probe = left if left_unique else left.select(*keys, left_on).distinct()
+    if left_unique:
+        probe = left
+    else:
+        probe = (left if probe is None else probe).select(*keys, left_on).distinct()
     right_side = right.where(F.col(right_on).isNotNull()).select(
         *keys,
         F.col(right_on).alias("_t"),

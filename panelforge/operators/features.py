@@ -64,15 +64,21 @@ def forward_vol(axis: Axis, log_ret: str, n: int = 5) -> Column:
     return F.stddev_samp(log_ret).over(axis.rows(1, n)) * F.lit(ANNUAL)
 
 
-def blank_after_cutoff(df: DataFrame, axis: Axis, cols: list[str], cutoff_calendar_days: int = 21) -> DataFrame:
-    """NULL forward-looking columns within the last calendar days of the whole data set."""
-    last = df.agg(F.date_sub(F.max(axis.on), cutoff_calendar_days)).scalar()
-    return df.withColumns({c: F.when(F.col(axis.on) <= last, F.col(c)) for c in cols})
-
-
-def targets(df: DataFrame, axis: Axis, c: str, log_ret: str, cutoff_calendar_days: int = 21) -> DataFrame:
-    out = df.withColumns({"target_return_21d": forward_return(axis, c), "target_vol_5d": forward_vol(axis, log_ret)})
-    return blank_after_cutoff(out, axis, ["target_return_21d", "target_vol_5d"], cutoff_calendar_days)
+def targets(
+    df: DataFrame, axis: Axis, c: str, log_ret: str, dates: DataFrame | None = None, cutoff_calendar_days: int = 21
+) -> DataFrame:
+    """Forward return and volatility, NULL within the last calendar days of the whole data set.
+
+    ``dates`` may name a cheaper frame that holds the same last date.
+    """
+    last = (df if dates is None else dates).agg(F.date_sub(F.max(axis.on), cutoff_calendar_days)).scalar()
+    seen = F.col(axis.on) <= last
+    return df.withColumns(
+        {
+            "target_return_21d": F.when(seen, forward_return(axis, c)),
+            "target_vol_5d": F.when(seen, forward_vol(axis, log_ret)),
+        }
+    )
 
 
 def with_betas(df: DataFrame, axis: Axis, ret: str, factors: dict[str, str]) -> DataFrame:

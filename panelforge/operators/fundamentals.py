@@ -135,14 +135,23 @@ def attach_own(panel: DataFrame, ratio: DataFrame, stale_days: int = STALE_DAYS,
     ).drop("_fresh", "period")
 
 
-def fill_from_sector(panel: DataFrame, medians: DataFrame, lag_days: int = LAG_DAYS, cols: Sequence[str] = MEDIAN_RATIOS) -> DataFrame:
+def fill_from_sector(
+    panel: DataFrame,
+    medians: DataFrame,
+    lag_days: int = LAG_DAYS,
+    cols: Sequence[str] = MEDIAN_RATIOS,
+    keys: DataFrame | None = None,
+) -> DataFrame:
     """Rows without own ratios take the sector medians of the last period at least ``lag_days`` back.
 
-    The as-of match runs on distinct (sector, date) pairs, so a large sector is not one time line of all its rows.
+    The as-of match runs on distinct (sector, date) pairs, so a large sector is not one time line of all its rows;
+    ``keys`` may supply those pairs from a cheaper frame.
     """
     med = medians.select("sector", "period", *[F.col(c).alias(f"_sm_{c}") for c in cols])
     keyed = panel.withColumn("_jd", F.date_sub("d", lag_days))
-    hit = asof_join(keyed, med, ["sector"], "_jd", "period", ["period", *[f"_sm_{c}" for c in cols]])
+    probe = None if keys is None else keys.select("sector", F.date_sub("d", lag_days).alias("_jd"))
+    take = ["period", *[f"_sm_{c}" for c in cols]]
+    hit = asof_join(keyed, med, ["sector"], "_jd", "period", take, probe=probe)
     missing = F.col("fundamentals_available") == 0
     return hit.withColumns(
         {
@@ -168,4 +177,5 @@ RELATIVE = {"rel_roa": "roa", "rel_ebitda_margin": "ebitda_margin"}
 
 def point_in_time(panel: DataFrame, ratio: DataFrame, medians: DataFrame) -> DataFrame:
     """Own ratios, sector fallback and sector-relative values; the panel needs (tk, d, sector)."""
-    return sector_relative(fill_from_sector(attach_own(panel, ratio), medians), medians, RELATIVE)
+    filled = fill_from_sector(attach_own(panel, ratio), medians, keys=panel)
+    return sector_relative(filled, medians, RELATIVE)

@@ -45,25 +45,24 @@ def state_stats(states: DataFrame) -> DataFrame:
 def label_states(stats: DataFrame) -> DataFrame:
     """Name four raw states: best return, then worst return-plus-fear score, then highest fear, then the rest."""
 
-    def choose(df: DataFrame, score: str) -> DataFrame:
-        return df.select(F.max_by("state", F.struct(score, -F.col("state"))).alias("state"))
-
-    bull = choose(stats, "mean_return")
-    rest = stats.join(bull, "state", "left_anti")
-    w = Window.partitionBy()
-    span = F.max("mean_vix").over(w) - F.min("mean_vix").over(w)
-    fear = (F.col("mean_vix") - F.min("mean_vix").over(w)) / F.when(span > 0, span).otherwise(1.0)
-    rest = rest.withColumn("_score", -F.col("mean_return") + 0.5 * fear)
-    bear = choose(rest, "_score")
-    rest = rest.join(bear, "state", "left_anti")
-    high = choose(rest, "mean_vix")
-    side = rest.join(high, "state", "left_anti")
-    named = [(bull, "Bull"), (bear, "Bear"), (high, "HighVol"), (side.select("state"), "Sideways")]
-    out = None
-    for df, label in named:
-        part = df.select("state", F.lit(label).alias("label"), F.lit(REGIME_INT[label]).alias("regime_int"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # the frame has one row per state, so these windows order a handful of rows
+    bull = F.row_number().over(Window.orderBy(F.desc("mean_return"), "state")) == 1
+    out = stats.withColumn("_bull", bull)
+    rest = Window.partitionBy("_bull")
+    low, high = F.min("mean_vix").over(rest), F.max("mean_vix").over(rest)
+    fear = (F.col("mean_vix") - low) / F.when(high > low, high - low).otherwise(1.0)
+    out = out.withColumn("_score", -F.col("mean_return") + 0.5 * fear)
+    out = out.withColumn("_bear", ~F.col("_bull") & (F.row_number().over(rest.orderBy(F.desc("_score"), "state")) == 1))
+    last_two = Window.partitionBy("_bull", "_bear").orderBy(F.desc("mean_vix"), "state")
+    label = (
+        F.when(F.col("_bull"), "Bull")
+        .when(F.col("_bear"), "Bear")
+        .when(F.row_number().over(last_two) == 1, "HighVol")
+        .otherwise("Sideways")
+    )
+    out = out.withColumn("label", label)
+    code = F.create_map(*[F.lit(v) for kv in REGIME_INT.items() for v in kv])
+    return out.select("state", "label", code[F.col("label")].alias("regime_int"))
 
 
 def segments(series: DataFrame, label: str = "label") -> DataFrame:

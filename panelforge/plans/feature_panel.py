@@ -1,7 +1,8 @@
-"""The full feature panel as one lazy plan.
+"""The full feature panel.
 
 Point-in-time joins come first, while rows are narrow; then one exchange by entity serves every window and the
-grouped map, and the cross-sectional ranks run on a narrow long form.
+grouped map. The resulting table is written once (it is what downstream jobs read anyway), and the rank pass reads
+only the ranked columns of it, in a narrow long form.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.numeric import floor_round
 from panelforge.functions.ranking import rank_many
 from panelforge.functions.recursive import beta_step, grouped
+from panelforge.functions.staging import staged
 from panelforge.functions.windows import Axis
 from panelforge.operators import bars as B
 from panelforge.operators import crosssection as X
@@ -64,19 +66,21 @@ def feature_panel(
     financial_sectors: Sequence[str] = (),
 ) -> DataFrame:
     """Wide (entity, date) feature table with ranks and targets, ready for training and scoring."""
-    ratio = FU.ratios(statements, sectors, financial_sectors)
-    medians = FU.sector_medians(ratio)
+    ratio = staged(FU.ratios(statements, sectors, financial_sectors), "ratios")
+    medians = staged(FU.sector_medians(ratio), "sector_medians")
     base = B.adjust_close(bars, B.split_factors(splits))
     base = base.withColumn("vwap", floor_round((F.col("hi") + F.col("lo") + F.col("cl")) / 3, 4))
     base = base.join(sectors.select("tk", "sector"), "tk", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
-    base = base.join(tiers.select("tk", "tier"), "tk")
-    base = FU.point_in_time(base, ratio, medians)
+    narrow = staged(base.join(tiers.select("tk", "tier"), "tk"), "bars")
+    base = FU.point_in_time(narrow, ratio, medians)
     base = base.join(market.select("d", *MARKET_COLUMNS), "d", "left")
     base = base.join(regimes.select("d", F.col("regime_int").cast("int").alias("regime_int")), "d", "left")
 
-    # everything below is ordered by date within the entity
+    # Everything below is ordered by date within the entity. The stage is heavy per row, so its partition count is
+    # fixed: adaptive coalescing looks at bytes only and would leave most cores idle.
+    base = base.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tk")
     feats = E.add_price_features(I.windowed(base, TK, "adj"), TK, "adj")
-    feats = E.targets(feats, TK, "adj", "log_return_1d")
+    feats = E.targets(feats, TK, "adj", "log_return_1d", dates=narrow)
     feats = feats.withColumns(
         {
             "price_gap_flag": B.price_gap_flag(TK),
@@ -91,6 +95,7 @@ def feature_panel(
     feats = grouped(feats, TK, [I.recursive_step("adj"), beta_step("return_1d", BETAS)])
     feats = feats.withColumn("adx14_available", E.present("adx_14"))
     feats = feats.select("tk", "d", "sector", *[floor_round(c, 6).alias(c) for c in VALUES], *FLAGS)
+    feats = staged(feats, "features")
 
     # stored values are what ranks compare, so they are rounded before ranking
     pool = F.when(F.col("tier").isin(1, 2), F.col("target_return_21d"))

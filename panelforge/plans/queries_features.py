@@ -210,7 +210,7 @@ view(
 
 
 def with_targets(spark, sf):
-    return E.targets(log_returns(spark, sf), TK, "adj", "log_return_1d")
+    return E.targets(log_returns(spark, sf), TK, "adj", "log_return_1d", dates=P.bars(spark, sf))
 
 
 @query("target_return", _sel(("target_return_21d",), "targ"), ("targ",))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelforge.functions.staging import staged
 from panelforge.plans import feature_panel as FP
 from panelforge.plans.oracle_views import r, view
 from panelforge.plans.queries_features import pc, rank_sql, tiers3
@@ -52,7 +53,8 @@ _RANK_SQL = ", ".join(f"{rank_sql(v, ', '.join(by), k)} AS {out}" for out, v, by
     ("fp_vals",),
 )
 def feature_panel(spark, sf):
+    mkt = staged(market(spark, sf), "market")
     return FP.feature_panel(
         P.bars(spark, sf), P.splits(spark, sf), P.fund(spark, sf), P.sector(spark, sf), tiers3(spark, sf),
-        market(spark, sf), regimes(spark, sf), FIN,
+        mkt, staged(regimes(spark, sf, mkt), "regimes"), FIN,
     )

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.numeric import floor_round
+from panelforge.functions.staging import staged
 from panelforge.operators import quality as Q
 from panelforge.operators import regimes as R
 from panelforge.plans.oracle_views import r, view
-from panelforge.plans.queries_macro import macro_full, market, pad
+from panelforge.plans.queries_macro import market
 from panelforge.plans.registry import query
 from panelforge.sources import panel as P
 
@@ -131,24 +132,20 @@ view(
 view("reg", "SELECT s.*, m.label, m.regime_int FROM reg_state s JOIN reg_map m USING (state)", "reg_state", "reg_map")
 
 
-def regime_frame(spark, sf):
-    return R.regime_features(market(spark, sf))
-
-
-def states(spark, sf):
+def states(spark, sf, mkt=None):
     """Raw states stand in for the output of a state model: quarters of the volatility order."""
-    f = regime_frame(spark, sf).dropna(subset=["ret_1", "ret_5", "vix", "vol_20"])
+    f = R.regime_features(market(spark, sf) if mkt is None else mkt).dropna(subset=["ret_1", "ret_5", "vix", "vol_20"])
     return f.withColumn("state", F.ntile(4).over(Window.orderBy(floor_round("vol_20"), "d")))
 
 
-def regimes(spark, sf):
-    s = states(spark, sf)
+def regimes(spark, sf, mkt=None):
+    s = staged(states(spark, sf, mkt), "states")
     return s.join(R.label_states(R.state_stats(s)), "state")
 
 
 @query("regime_features", "SELECT d, " + ", ".join(f"{r(c)} AS {c}" for c in ("ret_1", "ret_5", "vol_20", "vix", "flow_z")) + " FROM reg_feat", ("reg_feat",))
 def regime_features(spark, sf):
-    return regime_frame(spark, sf).select("d", *[floor_round(c).alias(c) for c in ("ret_1", "ret_5", "vol_20", "vix", "flow_z")])
+    return R.regime_features(market(spark, sf)).select("d", *[floor_round(c).alias(c) for c in ("ret_1", "ret_5", "vol_20", "vix", "flow_z")])
 
 
 @query("regime_state_stats", "SELECT * FROM reg_stats", ("reg_stats",))
