@@ -7,8 +7,10 @@ setting is absent (local tests) a temporary folder is used. Files are left to th
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_published: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def published(name: str) -> Callable:
+    """Decorator for a pipeline step ``fn(spark, folder)``: its table is written once per application and input folder.
+
+    Later steps read that table, as the steps of a daily run do, instead of recomputing everything before them.
+    """
+
+    def wrap(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        @functools.wraps(fn)
+        def read(spark: SparkSession, folder: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, folder, name)
+            if key not in _published:
+                _published[key] = staged(fn(spark, folder), name)
+            return _published[key]
+
+        return read
+
+    return wrap
+
+
+def forget_published() -> None:
+    """Make every step run again (for timing)."""
+    _published.clear()

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.numeric import floor_round
-from panelforge.functions.staging import staged
+from panelforge.functions.staging import published, staged
 from panelforge.operators import quality as Q
 from panelforge.operators import regimes as R
 from panelforge.plans.oracle_views import r, view
@@ -143,6 +143,11 @@ def regimes(spark, sf, mkt=None):
     return s.join(R.label_states(R.state_stats(s)), "state")
 
 
+@published("regimes")
+def regimes_table(spark, sf):
+    return regimes(spark, sf)
+
+
 @query("regime_features", "SELECT d, " + ", ".join(f"{r(c)} AS {c}" for c in ("ret_1", "ret_5", "vol_20", "vix", "flow_z")) + " FROM reg_feat", ("reg_feat",))
 def regime_features(spark, sf):
     return R.regime_features(market(spark, sf)).select("d", *[floor_round(c).alias(c) for c in ("ret_1", "ret_5", "vol_20", "vix", "flow_z")])
