@@ -29,11 +29,14 @@ def with_views(*names: str, body: str) -> str:
 
     for n in names:
         visit(n)
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order)
+    ctes = ",\n".join(
+        f"{n} AS ({VIEWS[n][1]})" if f"FROM {n} " in VIEWS[n][1] else f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order
+    )
+    head = "WITH RECURSIVE" if any("UNION ALL" in VIEWS[n][1] and f"FROM {n} " in VIEWS[n][1] for n in order) else "WITH"
     body = body.strip()
     if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
-    return f"WITH {ctes}\n{body}"
+        return f"{head} {ctes},\n{body[5:]}"
+    return f"{head} {ctes}\n{body}"
 
 
 view(
