@@ -150,7 +150,7 @@ def _pearson(x: str, y: str) -> Column:
     sx, sy = F.sum(x), F.sum(y)
     sxx, syy, sxy = F.sum(F.col(x) * F.col(x)), F.sum(F.col(y) * F.col(y)), F.sum(F.col(x) * F.col(y))
     vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    ok = (F.count_distinct(x) > 1) & (F.count_distinct(y) > 1)
+    ok = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     return F.when(ok, F.try_divide(n * sxy - sx * sy, F.sqrt(F.when(ok, vx * vy))))
 
 

@@ -232,7 +232,7 @@ def dq_ml_checks(spark, sf):
 
 
 def _fit(spark, sf):
-    rows = ML.assign_folds(split(spark, sf), folds(spark, sf))
+    rows = ML.assign_folds(split(spark, sf).drop("part"), folds(spark, sf))
     return ML.fit_folds(rows, ["return_21d", "volatility_20d", "mom_12_1"], "target", [1, 2], trees=5, depth=3)
 
 
