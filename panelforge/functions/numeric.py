@@ -123,15 +123,20 @@ def _horner(x: Column, coeffs: tuple[float, ...]) -> Column:
 
 
 def norm_ppf(p: Column | str) -> Column:
-    """Inverse standard normal distribution as a column expression."""
-    p = col(p)
-    q = p - 0.5
-    r = q * q
-    middle = _horner(r, NORM_A) * q / (_horner(r, NORM_B) * r + 1.0)
+    """Inverse standard normal distribution as a column expression.
+
+    The argument is bound once through a lambda, because the formula uses it many times.
+    """
 
     def tail(u: Column) -> Column:
         return _horner(u, NORM_C) / (_horner(u, NORM_D) * u + 1.0)
 
-    low = tail(F.sqrt(F.lit(-2.0) * F.ln(p)))
-    high = -tail(F.sqrt(F.lit(-2.0) * F.ln(1.0 - p)))
-    return F.when(p < NORM_SPLIT, low).when(p > 1 - NORM_SPLIT, high).otherwise(middle)
+    def formula(x: Column) -> Column:
+        q = x - 0.5
+        r = q * q
+        middle = _horner(r, NORM_A) * q / (_horner(r, NORM_B) * r + 1.0)
+        low = tail(F.sqrt(F.lit(-2.0) * F.ln(x)))
+        high = -tail(F.sqrt(F.lit(-2.0) * F.ln(1.0 - x)))
+        return F.when(x < NORM_SPLIT, low).when(x > 1 - NORM_SPLIT, high).otherwise(middle)
+
+    return F.transform(F.array(col(p)), formula)[0]

@@ -143,12 +143,15 @@ def project(positions: DataFrame, entries: DataFrame, today: Column, horizon: in
 
 def capital_summary(projected: DataFrame, nav: float) -> DataFrame:
     """Deployed capital by side, cash left, entry and exit cost and the expected percentage per portfolio."""
-    def total(cond: Column | None = None) -> Column:
-        return F.coalesce(F.sum(F.col("alloc") if cond is None else F.when(cond, F.col("alloc"))), F.lit(0.0))
+
+    def cents(c: str, cond: Column | None = None) -> Column:
+        """Exact sum of two-decimal amounts."""
+        x = floor_round(c, 2).cast("decimal(18,2)")
+        return F.coalesce(F.sum(x if cond is None else F.when(cond, x)).cast("double"), F.lit(0.0))
 
     g = projected.groupBy("pid").agg(
-        total().alias("deployed"), total(F.col("direction") == "long").alias("long_book"), total(F.col("direction") == "short").alias("short_book"),
-        F.sum("gain").alias("gain"), F.sum("tax").alias("tax"),
+        cents("alloc").alias("deployed"), cents("alloc", F.col("direction") == "long").alias("long_book"),
+        cents("alloc", F.col("direction") == "short").alias("short_book"), cents("gain").alias("gain"), cents("tax").alias("tax"),
     )
     cost = F.col("deployed") * TOTAL_BPS / 10_000
     return g.withColumns(

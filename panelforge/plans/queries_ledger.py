@@ -201,8 +201,8 @@ def rpt_position_projection(spark, sf):
 
 view(
     "capsum",
-    """SELECT *, 1e7::DOUBLE-deployed AS remaining, deployed*19.845::DOUBLE/10000 AS entry_cost, deployed*19.845::DOUBLE/10000 AS exit_cost, gain/nullif(deployed,0)*100 AS expected_pct FROM (
-    SELECT pid, sum(alloc) AS deployed, coalesce(sum(alloc) FILTER (WHERE direction='long'),0) AS long_book, coalesce(sum(alloc) FILTER (WHERE direction='short'),0) AS short_book, sum(gain) AS gain, sum(tax) AS tax FROM proj GROUP BY pid)""",
+    f"""SELECT *, 1e7::DOUBLE-deployed AS remaining, deployed*19.845::DOUBLE/10000 AS entry_cost, deployed*19.845::DOUBLE/10000 AS exit_cost, gain/nullif(deployed,0)*100 AS expected_pct FROM (
+    SELECT pid, sum(alloc) AS deployed, coalesce(sum(alloc) FILTER (WHERE direction='long'),0) AS long_book, coalesce(sum(alloc) FILTER (WHERE direction='short'),0) AS short_book, CAST(sum(CAST({r('gain', 2)} AS DECIMAL(18,2))) AS DOUBLE) AS gain, CAST(sum(CAST({r('tax', 2)} AS DECIMAL(18,2))) AS DOUBLE) AS tax FROM proj GROUP BY pid)""",
     "proj",
 )
 _C = ("deployed", "long_book", "short_book", "gain", "tax", "remaining", "entry_cost", "exit_cost", "expected_pct")
