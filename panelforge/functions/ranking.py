@@ -86,24 +86,26 @@ def rank_many(
     items = F.array(
         *[
             F.struct(
-                F.lit(out).alias("name"),
-                F.to_json(F.struct(*by)).alias("grp"),
-                F.col(value).cast("double").alias("x"),
+                F.lit(out).alias("_name"),
+                F.to_json(F.struct(*by)).alias("_grp"),
+                F.col(value).cast("double").alias("_v"),
             )
             for out, value, by, _ in specs
         ]
     )
-    long = df.select(*keys, F.explode(items).alias("i")).select(*keys, "i.name", "i.grp", "i.x").where("x is not null")
+    parts = ["_name", "_grp", "_v"]
+    long = df.select(*keys, F.explode(items).alias("_item")).select(*keys, *[F.col(f"_item.{c}") for c in parts])
+    long = long.where(F.col("_v").isNotNull())
     need = F.create_map(*[F.lit(v) for out, _, _, k in specs for v in (out, k)])
-    table = position_table(long, ["name", "grp"], "x")
+    table = position_table(long, ["_name", "_grp"], "_v")
     pct = average_rank() / F.col("_total")
-    ranks = table.where(F.col("_total") >= need[F.col("name")]).select(
-        "name", "grp", F.col("_x").alias("x"), (pct if digits is None else floor_round(pct, digits)).alias("pct")
+    ranks = table.where(F.col("_total") >= need[F.col("_name")]).select(
+        "_name", "_grp", F.col("_x").alias("_v"), (pct if digits is None else floor_round(pct, digits)).alias("_pct")
     )
     wide = (
-        long.join(ranks, ["name", "grp", "x"])
+        long.join(ranks, parts)
         .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("name") == out, F.col("pct"))).alias(out) for out, *_ in specs])
+        .agg(*[F.max(F.when(F.col("_name") == out, F.col("_pct"))).alias(out) for out, *_ in specs])
     )
     return df.join(wide, list(keys), "left")
 

@@ -29,9 +29,9 @@ SECTOR_HEADERS = ("INDUSTRY", "SECTOR")
 
 
 def rename_headers(df: DataFrame, aliases: dict[str, Sequence[str]]) -> DataFrame:
-    """Canonical names for the first matching header of each alias list; other columns are dropped."""
+    """Canonical names for the first matching header of each alias list (or the name itself); others are dropped."""
     found = {c.strip().upper(): c for c in df.columns}
-    picks = {name: next((found[h] for h in heads if h in found), None) for name, heads in aliases.items()}
+    picks = {name: next((found[h] for h in (*heads, name.upper()) if h in found), None) for name, heads in aliases.items()}
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in picks.items() if c is not None])
 
 
@@ -69,6 +69,7 @@ def unify_bar_layouts(frames: Sequence[DataFrame], series: str = "EQ", extra: Se
     for df in frames:
         keep = {c: (c.upper(),) for c in extra}
         part = rename_headers(df, {**BAR_HEADERS, **keep}).where(F.trim("series") == series)
+        part = part.withColumns({c: F.lit(None).cast("string") for c in ("op", "hi", "lo", "cl", "vol") if c not in part.columns})
         part = part.select(
             F.trim("symbol").alias("tk"),
             *[F.col(c).try_cast("date").alias(c) for c in extra],
