@@ -307,4 +307,6 @@ def build_books(pool: DataFrame, lim: Limits = Limits(), max_positions: int = 45
         return pd.DataFrame(rows, columns=names)
 
     cols = ("pid", "tk", "direction", "pos", "size", "sector", "is_midcap", "eligible")
-    return pool.select(*cols).groupBy("pid").applyInPandas(fill, BOOK_SCHEMA)
+    # many small groups, heavy per group: adaptive coalescing by bytes would leave most cores idle
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pool.select(*cols).repartition(parts, "pid").groupBy("pid").applyInPandas(fill, BOOK_SCHEMA)
