@@ -1,55 +1,57 @@
 """Stage boundaries: a plan that is read several times is written once as a Parquet table.
 
-The table lies in the shared folder named by ``spark.checkpoint.dir``, so it survives lost executors, cuts the
-lineage, and keeps column pruning and size statistics, which a row-format checkpoint does not. Only where that
-setting is absent (local tests) a temporary folder is used. Files are left to the folder's own retention rule.
+The table lies in the shared folder named by ``spark.checkpoint.dir``; where that is unset, as in tests, below the
+session's warehouse folder, which a cluster shares too. It survives lost executors, cuts the lineage, and keeps column
+pruning and size statistics, which a row-format checkpoint does not. Steps of a daily run are written once per state of their
+input folder: a changed, added or removed input file makes them run again.
+Files are left to the folder's own retention rule.
 """
 
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-_local_folder: str | None = None
+from pyspark.sql import functions as F
 
 
 def staging_folder(spark: SparkSession) -> str:
-    global _local_folder
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="panelforge-")
-    return _local_folder
+    """The session's shared folder, with a sub-folder for this application."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
+    return f"{shared}/{spark.sparkContext.applicationId}"
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    return f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back."""
     spark = df.sparkSession
-    path = f"{staging_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_published: dict[tuple[str, str, str], DataFrame] = {}
+def input_state(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and times of all files below a folder, as one row of sums (no content is read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    mark = F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.sum(mark)).first())
 
 
-def published(name: str) -> Callable:
-    """Decorator for a pipeline step ``fn(spark, folder)``: its table is written once per application and input folder.
+_published: dict[tuple, DataFrame] = {}
+
 
-    Later steps read that table, as the steps of a daily run do, instead of recomputing everything before them.
-    """
+def published(name: str) -> Callable:
+    """Decorator for a step ``fn(spark, folder)`` of a daily run whose table later steps read."""
 
     def wrap(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         @functools.wraps(fn)
         def read(spark: SparkSession, folder: str) -> DataFrame:
-            key = (spark.sparkContext.applicationId, folder, name)
+            key = (spark.sparkContext.applicationId, folder, name, input_state(spark, folder))
             if key not in _published:
                 _published[key] = staged(fn(spark, folder), name)
             return _published[key]

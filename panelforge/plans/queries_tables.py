@@ -5,12 +5,11 @@ Files that the readers need are written by Spark from the given tables first.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from panelforge.functions.numeric import clean_number, floor_round, period_start
-from panelforge.functions.staging import staging_folder
+from panelforge.functions.staging import stage_path
 from panelforge.functions.windows import Axis
 from panelforge.operators import features as E
 from panelforge.operators import tables as TB
@@ -26,7 +25,7 @@ TK = Axis(("tk",), "d")
 
 
 def scratch(spark, name):
-    return f"{staging_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return stage_path(spark, name)
 
 
 def as_csv(df, name):
