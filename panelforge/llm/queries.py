@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import cuckoo, packing, pieces
+from pyspark.sql import functions as F
+
+from panelforge.llm import chat, cuckoo, packing, pieces, simhash, topk
 from panelforge.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -18,6 +20,18 @@ def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path(PIECES))
 
 
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one that holds control strings in its texts."""
+    said = r"\### Assistant: </turn> ok"
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(rows.unionByName(hard))
+
+
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.with_components(table(spark, folder, "documents"))
+
+
 def pack_tokens(docs: DataFrame) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(BYTES), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -30,13 +44,52 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cuckoo.duplicates(table(spark, folder, "documents")).drop(cuckoo.ROW)
 
 
+def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
+    "op4_chat": op4_chat,
+    "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_topk": op10_topk,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_chat": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ),
+        t AS (
+            SELECT *, CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'tool' THEN 'Tool' ELSE '=' || hex(role) END AS label,
+                replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '### ', '\### ') AS escaped,
+                lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before
+            FROM c
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(4 + length(label) + 2 + length(escaped) + 8) AS BIGINT) AS formatted_chars,
+            bool_and(coalesce(before, '') || '>' || role IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user', 'assistant>tool', 'tool>assistant')) AS valid
+        FROM t GROUP BY conv_id
+    """,
+    "op10_topk": """
+        WITH v AS (
+            SELECT vec_id, min([CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding]) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT coalesce(list_bool_or([x IS NULL OR NOT isfinite(x) FOR x IN embedding]), false)
+            GROUP BY vec_id
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                CAST(coalesce(list_sum([q.e[i] * c.e[i] FOR i IN range(1, least(len(q.e), len(c.e)) + 1)]), 0) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+    """,
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
