@@ -72,7 +72,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", ke
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = ChunkTable(model)
-        for batch in slices(batches, text, 16 << 20):
+        for batch in slices(batches, text, 2 << 20):
             parts = chunks.encode(batch.column(text).to_pylist())
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int64).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(parts), "<i4"))

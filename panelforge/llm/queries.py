@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat, cuckoo, packing, pieces, simhash, topk
+from panelforge.llm import chat, cuckoo, langid, packing, pieces, quality, simhash, topk, viterbi
 from panelforge.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -20,6 +20,11 @@ def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path(PIECES))
 
 
+def op3_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one that holds control strings in its texts."""
     said = r"\### Assistant: </turn> ok"
@@ -44,16 +49,28 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cuckoo.duplicates(table(spark, folder, "documents")).drop(cuckoo.ROW)
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return viterbi.counts(table(spark, folder, "documents"), public_tokenizers.path(PIECES))
+
+
 def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
+    "op3_langid": op3_langid,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality": op8_quality,
+    "op9_token_counts": op9_token_counts,
     "op10_topk": op10_topk,
 }
 
