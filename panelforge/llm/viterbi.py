@@ -35,23 +35,23 @@ class Vocabulary:
     byte_fallback: bool
     unknown: float
 
-    @classmethod
-    @functools.lru_cache(maxsize=2)
-    def load(cls, path: str) -> Vocabulary:
-        """Pieces and scores of a model file."""
-        sp = processor(path)
-        ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        pieces = {sp.id_to_piece(i): float(sp.get_score(i)) for i in ids}
-        return cls(pieces, any(sp.is_byte(i) for i in range(sp.get_piece_size())), min(pieces.values()) - PENALTY)
+
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """Pieces and scores of a model file."""
+    sp = processor(path)
+    ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    pieces = {sp.id_to_piece(i): float(sp.get_score(i)) for i in ids}
+    return Vocabulary(pieces, any(sp.is_byte(i) for i in range(sp.get_piece_size())), min(pieces.values()) - PENALTY)
 
 
 class Counter:
     """Best score and number of pieces of marked text."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v = vocabulary
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
         self.automaton = ahocorasick.Automaton()
-        for piece, score in vocabulary.pieces.items():
+        for piece, score in v.pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.kept: dict[str, tuple[int, float]] = {}
@@ -94,7 +94,7 @@ def counts(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens and score of the best path of every whole text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(Vocabulary.load(model))
+        counter = Counter(vocabulary(model))
         for batch in slices(batches, "text"):
             found = [counter.text(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "n_tokens", "score"])

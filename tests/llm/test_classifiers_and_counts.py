@@ -94,7 +94,7 @@ def test_counts_against_library_and_recursion(spark, docs):
     path = P.path(queries.PIECES)
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     exact = tokenizers.Tokenizer(tokenizers.models.Unigram([(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())], unk_id=0, byte_fallback=True))
-    v, counter, rng = viterbi.Vocabulary.load(path), viterbi.Counter(viterbi.Vocabulary.load(path)), random.Random(8)
+    v, counter, rng = viterbi.vocabulary(path), viterbi.Counter(viterbi.vocabulary(path)), random.Random(8)
     texts = {r.doc_id: r.text for r in docs.limit(200).collect()}
     assert {r.doc_id: r.n_tokens for r in viterbi.counts(docs.limit(200), path).collect()} == {i: len(exact.encode("▁" + t.replace(" ", "▁")).ids) for i, t in texts.items()}
     words = " ".join(texts.values()).split(" ")
