@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat, cuckoo, langid, packing, pieces, quality, simhash, topk, viterbi
+from panelforge.llm import chat, cuckoo, langid, packing, pieces, quality, simhash, suffixes, topk, viterbi
 from panelforge.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -20,6 +20,10 @@ def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path(PIECES))
 
 
+def op2_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digests(table(spark, folder, "documents"))
+
+
 def op3_langid(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -64,6 +68,7 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
+    "op2_suffixes": op2_suffixes,
     "op3_langid": op3_langid,
     "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
