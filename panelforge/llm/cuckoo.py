@@ -186,5 +186,5 @@ def duplicates(docs: DataFrame, withdrawn: DataFrame | None = None) -> DataFrame
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = duplicates(docs).where("kept").select(ROW)
-    return with_row(docs).join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = duplicates(docs).where("NOT kept").select(ROW)
+    return with_row(docs).join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

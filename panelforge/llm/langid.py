@@ -109,29 +109,40 @@ def fit(docs: DataFrame) -> Model | None:
     return learn([r.text for r in sample], [r.lang for r in sample]) if sample else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every document."""
-    rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
-    rows = rows.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
-    schema = "doc_id long, lang_pred string, score double"
+def tagged(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its score."""
+    lettered = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+    if model is None:
+        return docs.withColumns({lang: F.lit(UND), score: F.lit(0.0)})
+    rows = docs.select("*", F.when(lettered, F.col("text").cast("string")).alias("__read"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((ROWS, SLOTS), np.float32)
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "__read"):
             for start in range(0, piece.num_rows, ROWS):
                 batch = piece.slice(start, ROWS)
-                texts = batch.column("text").to_pylist()
+                texts = batch.column("__read").to_pylist()
                 x = presence([t or "" for t in texts], held)
                 f = (x @ model.weights) / np.sqrt(x.sum(axis=1, keepdims=True)) + model.bias
                 p = np.exp(SHARPNESS * (f - f.max(axis=1, keepdims=True)))
                 p /= p.sum(axis=1, keepdims=True)
                 best = p.argmax(axis=1)
-                lang = [model.languages[b] if t is not None else UND for t, b in zip(texts, best)]
+                told = [model.languages[b] if t is not None else UND for t, b in zip(texts, best)]
                 top = [float(p[i, b]) if t is not None else 0.0 for i, (t, b) in enumerate(zip(texts, best))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(top, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.string()), pa.array(top, pa.float64())], names=[*batch.schema.names[:-1], lang, score])
 
-    if model is None:
-        found = rows.select("doc_id", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
-    else:
-        found = rows.mapInArrow(run, schema)
+    kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
+    return rows.mapInArrow(run, f"{kinds}, `{lang}` string, `{score}` double")
+
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for every document."""
+    found = tagged(docs.select(F.col("doc_id").cast("long"), "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows whose language could be told, with all their columns; where nothing could be learned, those with a letter."""
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    return tagged(docs, model, "__lang", "__score").where(F.col("__lang") != UND).drop("__lang", "__score")

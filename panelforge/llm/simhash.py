@@ -173,4 +173,5 @@ def representatives(docs: DataFrame, words: int, radius: int) -> DataFrame:
     rows = near_duplicates(docs, words, radius)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
     kept = rows.groupBy("root").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
-    return with_row(docs).join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = rows.select(ROW).join(kept, ROW, "left_anti")
+    return with_row(docs).join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

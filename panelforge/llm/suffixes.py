@@ -315,41 +315,56 @@ def repeats(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     return windows.select(ROW, ranges.alias("ranges")).groupBy(ROW).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes, removed, kept = [], [], []
+        for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
+            data = text.encode()
+            spans, out, at = [], [], 0
+            for start, stop in sorted((r["start"], r["stop"]) for r in ranges or ()):
+                if spans and start <= spans[-1]["stop"]:
+                    spans[-1]["stop"] = max(spans[-1]["stop"], stop)
+                else:
+                    spans.append({"start": start, "stop": stop})
+            for s in spans:
+                out.append(data[at : s["start"]])
+                at = s["stop"]
+            out.append(data[at:])
+            sizes.append(len(data))
+            removed.append(spans)
+            kept.append(b"".join(out))
+        left = [k.decode("utf-8", "ignore") if r else None for k, r in zip(kept, removed)]
+        cols = [pa.array(sizes, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary()), pa.array(left, pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *cols], names=["doc", "n_bytes", "removed", "kept", "left"])
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """row, doc_id, n_bytes, the spans removed (start, stop) and the bytes kept, for every row of ``docs``."""
+    """For every row of ``docs``: ``doc`` (its columns but the text), n_bytes, the spans removed (start, stop), the bytes kept, and
+    ``left``, the text of those without characters cut in half, or null if nothing was removed."""
     if length % DEPTH or length < 2 * GRAM:
         raise ValueError(f"length must be a multiple of {DEPTH}, {2 * GRAM} at least")
-    texts = with_row(docs.select("doc_id", "text")).select(ROW, F.col("doc_id").cast("long"), whole().alias("text"))
-    marked = texts.join(repeats(texts.select(ROW, "text"), length, hot), ROW, "left")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    texts = with_row(docs).select(ROW, F.struct(*others).alias("doc"), whole().alias("text"))
+    marked = texts.join(repeats(texts.select(ROW, "text"), length, hot), ROW, "left").select("doc", "text", "ranges")
+    kind = dict(texts.dtypes)["doc"]
+    return marked.mapInArrow(_cut, f"doc {kind}, n_bytes long, removed array<struct<start:int,stop:int>>, kept binary, left string")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes, removed, kept = [], [], []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
-                data = text.encode()
-                spans, out, at = [], [], 0
-                for r in sorted((r["start"], r["stop"]) for r in ranges or ()):
-                    if spans and r[0] <= spans[-1]["stop"]:
-                        spans[-1]["stop"] = max(spans[-1]["stop"], r[1])
-                    else:
-                        spans.append({"start": r[0], "stop": r[1]})
-                for s in spans:
-                    out.append(data[at : s["start"]])
-                    at = s["stop"]
-                out.append(data[at:])
-                sizes.append(len(data))
-                removed.append(spans)
-                kept.append(b"".join(out))
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=[ROW, "doc_id", "n_bytes", "removed", "kept"])
-
-    return marked.select(ROW, "doc_id", "text", "ranges").mapInArrow(run, f"`{ROW}` long, doc_id long, n_bytes long, removed array<struct<start:int,stop:int>>, kept binary")
+
+def shortened(docs: DataFrame, length: int) -> DataFrame:
+    """The rows of ``docs`` with the text that is left; n_chars, if there, follows. A text without repeats stays as it is."""
+    named = {c: F.col(f"doc.`{c}`") for c in docs.columns if c != "text"}
+    if "n_chars" in named:
+        named["n_chars"] = F.when(F.size("removed") > 0, F.length("left")).otherwise(named["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    nothing = F.when(F.col("n_bytes") > 0, F.col("kept").cast("string"))
+    text = F.when(F.size("removed") > 0, F.col("left")).otherwise(nothing)
+    return without_repeats(docs, length).select(*[(text if c == "text" else named[c]).alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    cut = without_repeats(docs, length)
+    cut = without_repeats(docs.select(F.col("doc_id").cast("long"), "text"), length)
     return cut.select(
-        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc.doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )

@@ -44,7 +44,7 @@ def made_up(seed):
 
 def rows(df, length, hot=suffixes.HOT):
     cut = suffixes.without_repeats(df, length, hot).collect()
-    return sorted((str(r.doc_id), r.n_bytes, sum(s.stop - s.start for s in r.removed), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in cut)
+    return sorted((str(r.doc.doc_id), r.n_bytes, sum(s.stop - s.start for s in r.removed), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in cut)
 
 
 def test_runs_of_blocks_hold_every_window_once(monkeypatch):
