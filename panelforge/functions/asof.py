@@ -1,6 +1,6 @@
 """As-of joins: match each left row with the nearest right row in time.
 
-Plan: union of both sides tagged by side, one shuffle by key, and a running ``last``/``first`` over the key's
+Plan: union of both sides tagged by side, one shuffle by key, and a running ``last`` over the key's
 time line. Spark's own range-style plans for this are nested loops. Left keys are reduced to distinct
 (key, time) pairs first, so a key shared by a third of all rows still has a time line bounded by the calendar;
 the matches then return to the full left side through an equi-join that adaptive execution can split.
@@ -50,14 +50,12 @@ def asof_join(
         *keys, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.struct(*own).alias("_l")
     )
     both = left_side.unionByName(right_side, allowMissingColumns=True)
-    # right rows must sort before equal left rows for an inclusive backward or strict forward match
-    right_first = (direction == "backward") != strict
-    tie = F.col("_side").asc() if right_first else F.col("_side").desc()
-    w = Window.partitionBy(*keys).orderBy(F.col("_t").asc(), tie)
-    if direction == "backward":
-        hit = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        hit = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # right rows come before equal left rows unless equal times do not match
+    tie = F.col("_side").desc() if strict else F.col("_side").asc()
+    # always looking back, along descending times for a forward match: a frame that looks ahead is re-read at every row
+    time = F.col("_t").asc() if direction == "backward" else F.col("_t").desc()
+    w = Window.partitionBy(*keys).orderBy(time, tie)
+    hit = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     matched = both.withColumn("_m", hit).where("_side = 1")
     matched = matched.select(
         *keys, *[F.col("_l")[c].alias(c) for c in own], *[F.col("_m")[c].alias(c) for c in take]

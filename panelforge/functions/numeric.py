@@ -15,10 +15,12 @@ def floor_round(c: Column | str, digits: int = 6) -> Column:
     """Round half up by ``floor(x * 10^n + 0.5) / 10^n``.
 
     The same IEEE operations exist in every SQL engine, so published values are bit-identical
-    across engines, which ``round`` on short decimals is not.
+    across engines, which ``round`` on short decimals is not. Values without so many decimals (from 2^52 units on) stay as
+    they are: ``floor`` returns a 64-bit integer and would cut them off.
     """
     scale = float(10**digits)
-    return F.floor(col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    units = col(c) * F.lit(scale)
+    return F.when(F.abs(units) >= F.lit(float(1 << 52)), col(c).cast("double")).otherwise(F.floor(units + F.lit(0.5)) / F.lit(scale))
 
 
 def half_even(c: Column | str, digits: int) -> Column:

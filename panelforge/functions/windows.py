@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from panelforge.functions.numeric import col, safe_ratio
 
 UNBOUNDED_BACK = Window.unboundedPreceding
-UNBOUNDED_AHEAD = Window.unboundedFollowing
 
 
 @dataclass(frozen=True)
@@ -62,7 +61,8 @@ class Axis:
         return F.last(col(c), ignorenulls=True).over(self.rows(UNBOUNDED_BACK, 0))
 
     def bfill(self, c: Column | str) -> Column:
-        return F.first(col(c), ignorenulls=True).over(self.rows(0, UNBOUNDED_AHEAD))
+        back = Window.partitionBy(*self.by).orderBy(F.desc(self.on)).rowsBetween(UNBOUNDED_BACK, 0)
+        return F.last(col(c), ignorenulls=True).over(back)
 
     def zscore(self, c: Column | str, n: int = 252, min_count: int = 63) -> Column:
         mean = self.roll(F.avg, c, n, min_count)
@@ -119,12 +119,13 @@ def rolling_extremes(
     block = F.floor((F.row_number().over(axis.ordered()) - 1) / F.lit(size)).cast("int")
     cut = df.withColumn("_b", block)
     inner = Window.partitionBy(*axis.by, "_b").orderBy(axis.on)
+    rest = Window.partitionBy(*axis.by, "_b").orderBy(F.desc(axis.on)).rowsBetween(UNBOUNDED_BACK, 0)
     before = Window.partitionBy(*axis.by).orderBy("_b").rangeBetween(-3, -1)
     cols: dict[str, Column] = {}
     for out, (kind, c) in spec.items():
         fn = {"max": F.max, "min": F.min}[kind]
         cols[f"_p_{out}"] = fn(c).over(inner.rowsBetween(UNBOUNDED_BACK, 0))
-        cols[f"_t_{out}"] = fn(c).over(inner.rowsBetween(0, UNBOUNDED_AHEAD))
+        cols[f"_t_{out}"] = fn(c).over(rest)
         cols[f"_m_{out}"] = fn(c).over(before)
         cols[f"_c_{out}"] = axis.running(F.count, c)
     cut = cut.withColumns(cols)

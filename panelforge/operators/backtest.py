@@ -78,13 +78,18 @@ def holding_paths(holdings: DataFrame, returns: DataFrame, stop: float = -0.12)
     path = path.withColumn("_gain", gain)
     path = path.withColumn("value", F.col("alloc") * (1 + axis.running(F.sum, "_gain")))
     path = path.withColumn("high_water", F.greatest(axis.running(F.max, "value"), F.col("alloc")))
-    path = path.withColumn("drawdown", F.col("value") / F.col("high_water") - 1)
+    path = path.withColumn("drawdown", safe_ratio("value", "high_water") - 1)
     breach = F.when((F.col("drawdown") <= stop) & (F.col("d") > F.col("entry_d")), F.col("d"))
     path = path.withColumn("_breach", breach)
     path = path.withColumn("stop_d", F.min("_breach").over(axis.whole()))
     return path.withColumn("is_open", F.col("stop_d").isNull() | (F.col("d") < F.col("stop_d"))).drop("_gain", "_breach")
 
 
+def position_drawdown(paths: DataFrame) -> DataFrame:
+    """Drawdown of all open positions together, against the sum of their high-water marks."""
+    return paths.where("is_open").groupBy("d").agg((safe_ratio(F.sum("value"), F.sum("high_water")) - 1).alias("true_dd"))
+
+
 def worst_open_drawdown(paths: DataFrame) -> DataFrame:
     return paths.where("is_open").groupBy("d").agg(F.min("drawdown").alias("worst_dd"))
 
@@ -111,10 +116,14 @@ def nav_series(weights: DataFrame, returns: DataFrame, by: Sequence[str] = (), c
     out = daily.join(turn, [*by, "day"], "full_outer")
     net = F.coalesce("gross", F.lit(0.0)) - F.coalesce("turnover", F.lit(0.0)) * cost_bps / 10_000
     out = out.withColumn("ret", net)
-    line = Axis(tuple(by), "day")
-    return out.withColumn("_l", F.ln(1 + F.col("ret"))).select(
-        *by, F.col("day").alias("d"), "ret", F.exp(line.running(F.sum, "_l")).alias("nav")
-    )
+    return out.select(*by, F.col("day").alias("d"), "ret", compounded("ret", Axis(tuple(by), "day")).alias("nav"))
+
+
+def compounded(ret: str, axis: Axis) -> Column:
+    """Running product of 1 + return; a loss of everything or more leaves zero for good."""
+    alive = axis.running(F.min, F.coalesce(F.col(ret), F.lit(0.0))) > -1
+    logs = F.when(F.col(ret) > -1, F.ln(1 + F.col(ret))).otherwise(0.0)
+    return F.when(alive, F.exp(axis.running(F.sum, logs))).otherwise(0.0)
 
 
 def drawdown_series(nav: DataFrame, by: Sequence[str] = (), c: str = "nav") -> DataFrame:
@@ -127,14 +136,19 @@ def max_drawdown(nav: DataFrame, by: Sequence[str] = (), c: str = "nav") -> Data
 
 
 def metrics(nav: DataFrame, by: Sequence[str] = (), rf: float = RISK_FREE) -> DataFrame:
-    """Return, annual growth and volatility, Sharpe of growth over the risk-free rate, drawdown, Calmar, win rate."""
+    """Return, annual growth and volatility, Sharpe of growth over the risk-free rate, drawdown, Calmar, win rate (days
+    that gain more than rounding noise).
+
+    With a column ``true_dd`` (drawdown at position level) also its minimum and the Calmar ratio against it.
+    """
+    true_dd = F.min("true_dd") if "true_dd" in nav.columns else F.lit(None).cast("double")
     axis = Axis(tuple(by), "d")
     d = drawdown_series(nav, by).withColumn("_r", axis.pct_change("nav"))
     g = d.groupBy(*by).agg(
         F.min("d").alias("start_date"), F.max("d").alias("end_date"),
         F.min_by("nav", "d").alias("_first"), F.max_by("nav", "d").alias("_last"),
-        F.count("_r").alias("days"), F.stddev_samp("_r").alias("_sd"), F.min("drawdown").alias("max_dd"),
-        (F.count_if(F.col("_r") > 0) / F.nullif(F.count("_r"), F.lit(0))).alias("win_rate"),
+        F.count("_r").alias("days"), F.stddev_samp("_r").alias("_sd"), F.min("drawdown").alias("max_dd"), true_dd.alias("true_max_dd"),
+        (F.count_if(F.col("_r") > 1e-12) / F.nullif(F.count("_r"), F.lit(0))).alias("win_rate"),
     )
     g = g.withColumn("total_return", safe_ratio("_last", "_first") - 1)
     years = F.greatest(F.col("days") / F.lit(252.0), F.lit(0.001))
@@ -143,6 +157,7 @@ def metrics(nav: DataFrame, by: Sequence[str] = (), rf: float = RISK_FREE) -> Da
         {
             "sharpe": F.when(F.col("vol_ann") > 0, (F.col("cagr") - rf) / F.col("vol_ann")).otherwise(0.0),
             "calmar": F.when(F.col("max_dd") != 0, F.col("cagr") / F.abs("max_dd")).otherwise(0.0),
+            "true_calmar": F.when(F.col("true_max_dd").isNull() | (F.col("true_max_dd") != 0), F.col("cagr") / F.abs("true_max_dd")).otherwise(0.0),
         }
     ).drop("_first", "_last", "_sd")
 
@@ -168,14 +183,14 @@ def benchmark(series: DataFrame, start: Column, end: Column, candidates: Sequenc
 def monte_carlo(nav: DataFrame, sims: int = 1000, seed: int = 42) -> DataFrame:
     """Drawdown distribution over shuffles of the daily returns, and the place of the real drawdown in it.
 
-    Every shuffle orders the dates by a hash of (date, simulation, seed), so the result does not depend on tasks.
+    Every shuffle orders the dates by the MD5 of "date|simulation|seed", so the result does not depend on tasks or engine.
     """
     rets = nav.withColumn("ret", MARKET.pct_change("nav")).where("ret is not null").select("d", "ret")
     sim = rets.select("*", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
-    sim = sim.withColumn("_o", F.xxhash64("d", "sim", F.lit(seed)))
+    sim = sim.withColumn("_o", F.md5(F.concat_ws("|", F.col("d").cast("string"), "sim", F.lit(seed)).cast("binary")))
     order = Axis(("sim",), "_o")
-    sim = sim.withColumn("nav", F.exp(F.sum(F.ln(1 + F.col("ret"))).over(order.rows(Window.unboundedPreceding, 0))))
-    sim = sim.withColumn("dd", F.col("nav") / F.max("nav").over(order.rows(Window.unboundedPreceding, 0)) - 1)
+    sim = sim.withColumn("nav", compounded("ret", order))
+    sim = sim.withColumn("dd", safe_ratio("nav", order.running(F.max, "nav")) - 1)
     worst = sim.groupBy("sim").agg(F.min("dd").alias("dd"))
     real = max_drawdown(nav).select("max_dd").scalar()
     q = F.percentile("dd", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))

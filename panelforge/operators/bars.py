@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.asof import asof_join
@@ -16,11 +16,6 @@ def trading_calendar(bounds: DataFrame, start: str, end: str, holidays: DataFram
     return days if holidays is None else days.join(holidays.select("d").distinct(), "d", "left_anti")
 
 
-def calendar_between(spark: SparkSession, start: str, end: str, holidays: DataFrame | None = None) -> DataFrame:
-    one = spark.range(1).select(F.lit(start).cast("date").alias("a"), F.lit(end).cast("date").alias("b"))
-    return trading_calendar(one, "a", "b", holidays)
-
-
 def price_gap_flag(axis: Axis, days: int = 5) -> Column:
     """1 when the previous row of the entity is more than ``days`` calendar days back; first row 0."""
     gap = F.date_diff(F.col(axis.on), axis.shift(axis.on))
@@ -51,7 +46,7 @@ def build_bars(raw: DataFrame) -> DataFrame:
 
 def split_factors(splits: DataFrame) -> DataFrame:
     """Backward cumulative factor: the product of 1/ratio over this and all later splits of the ticker."""
-    later = Window.partitionBy("tk").orderBy("d").rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy("tk").orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
     return splits.where("ratio > 0").select("tk", "d", (1.0 / F.product("ratio").over(later)).alias("factor"))
 
 

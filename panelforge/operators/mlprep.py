@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +18,12 @@ TK = Axis(("tk",), "d")
 
 
 def feature_columns(df: DataFrame, excluded: Sequence[str]) -> list[str]:
-    """Numeric columns that are not listed as keys, flags, prices or targets."""
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in excluded]
+    """Numeric columns that are not listed as keys, flags, prices or targets; a name that looks like a target is an error."""
+    found = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in excluded]
+    leaks = [c for c in found if c.startswith("target")]
+    if leaks:
+        raise ValueError(f"targets among the features: {leaks}")
+    return found
 
 
 def holdout_split(df: DataFrame, target: str, holdout: Column, tiers: Sequence[int] = (1, 2)) -> DataFrame:
@@ -213,7 +218,10 @@ def checks(split: DataFrame, folds: DataFrame, pred: str, holdout: Column, bound
         (F.min(pred) > bounds[0]).alias("prediction_floor"), (F.max(pred) < bounds[1]).alias("prediction_ceiling"),
         (F.count_if(F.col(pred).isNull()) == 0).alias("no_missing_prediction"),
     )
-    f = folds.agg((F.count_if(F.col("train_end") >= F.col("test_start")) == 0).alias("purge_gap"))
+    f = folds.agg(
+        (F.count_if(F.col("train_end") >= F.col("test_start")) == 0).alias("purge_gap"),
+        (F.count_if(F.col("test_end") > holdout) == 0).alias("folds_before_holdout"),
+    )
 
     def rows(df: DataFrame) -> DataFrame:
         items = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("passed")) for c in df.columns])
@@ -222,18 +230,79 @@ def checks(split: DataFrame, folds: DataFrame, pred: str, holdout: Column, bound
     return rows(s).unionByName(rows(f))
 
 
+def _lookup(stats: DataFrame, keys: Sequence[str], value: Column) -> Column:
+    """One small table of statistics as a map value keyed by the joined keys."""
+    return stats.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", *keys), value)))).scalar()
+
+
+def prepare_folds(rows: DataFrame, features: Sequence[str], flags: FlagMap, limit: float = 0.01) -> DataFrame:
+    """Imputed, winsorized and scaled features of rows from :func:`assign_folds`.
+
+    Medians (by flag) and scaling come from the fold's training part. Order statistics for clipping are those of the part
+    itself, with missing values counted as its median; missing values without a rule stay NULL.
+    """
+    train = rows.where("part = 'train'")
+    items = [
+        F.when(F.col(flag) == 1 - missing, F.struct(F.lit(flag).alias("flag"), F.lit(c).alias("name"), F.col(c).alias("x")))
+        for flag, (missing, cols) in flags.items() for c in cols
+    ]
+    known = train.select("fold", F.explode(F.array_compact(F.array(*items))).alias("i")).select("fold", "i.*")
+    medians = _lookup(quantiles(known, ["fold", "flag", "name"], "x", {"m": 0.5}), ["fold", "flag", "name"], F.col("m"))
+    filled = rows.withColumn("_m", medians)
+    for flag, (missing, cols) in flags.items():
+        value = lambda c: F.coalesce(F.try_element_at("_m", F.concat_ws("|", "fold", F.lit(flag), F.lit(c))), F.lit(0.0))
+        filled = filled.withColumns({c: F.when((F.col(flag) == missing) & F.col(c).isNull(), value(c)).otherwise(F.col(c)) for c in cols})
+    filled = filled.drop("_m")
+    part = ["fold", "part", "name"]
+    long = filled.select("fold", "part", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in features])).alias("i")).select("fold", "part", "i.*")
+    middle = _lookup(quantiles(long, part, "x", {"m": 0.5}), part, F.col("m"))
+    counted = long.withColumn("_m", middle).withColumn("x", F.coalesce("x", F.try_element_at("_m", F.concat_ws("|", *part)))).drop("_m")
+    k = F.floor(F.lit(limit) * F.col("_total"))
+    bounds = _lookup(order_statistics(counted, part, "x", {"lo": k, "hi": F.col("_total") - 1 - k}), part, F.struct("lo", "hi"))
+
+    def clipped(name: Column | str, x: Column) -> Column:
+        b = F.try_element_at("_b", F.concat_ws("|", "fold", "part", name))
+        return F.when(x < b["lo"], b["lo"]).when(x > b["hi"], b["hi"]).otherwise(x)
+
+    fitted = long.where("part = 'train'").withColumn("_b", bounds).select("fold", "name", clipped("name", F.col("x")).alias("x"))
+    moments = fitted.groupBy("fold", "name").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    scale = _lookup(moments, ["fold", "name"], F.struct("m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s")))
+
+    def scaled(c: str) -> Column:
+        s = F.try_element_at("_s", F.concat_ws("|", "fold", F.lit(c)))
+        return (clipped(F.lit(c), F.col(c)) - s["m"]) / s["s"]
+
+    out = filled.withColumns({"_b": bounds, "_s": scale})
+    return out.withColumns({c: scaled(c) for c in features}).drop("_b", "_s")
+
+
 def fit_folds(df: DataFrame, features: Sequence[str], target: str, folds: Sequence[int], half_life_days: int = 365, trees: int = 20, depth: int = 4):
-    """Weighted forest per fold on rows from :func:`assign_folds`; returns (test predictions, importances)."""
+    """Weighted forest per fold on prepared fold rows; returns (a prediction for every test row, importances).
+
+    ``trees`` and ``depth`` size the forest (published: 1000 and 6). Features still missing after preparation count as
+    zero, which is the training mean; training rows need a target, test rows do not.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    ready = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.dropna(subset=[*features, target]))
+    whole = df.fillna(0.0, subset=list(features))
+    ready = VectorAssembler(inputCols=list(features), outputCol="_x").transform(whole)
     preds, imps = None, None
     for fold in folds:
-        train = time_decay(ready.where((F.col("fold") == fold) & (F.col("part") == "train")), half_life_days)
+        train = time_decay(ready.where((F.col("fold") == fold) & (F.col("part") == "train") & F.col(target).isNotNull()), half_life_days)
         model = RandomForestRegressor(featuresCol="_x", labelCol=target, weightCol="weight", numTrees=trees, maxDepth=depth, seed=7).fit(train)
         test = model.transform(ready.where((F.col("fold") == fold) & (F.col("part") == "test"))).select("tk", "d", "fold", target, F.col("prediction"))
         gain = df.sparkSession.createDataFrame([(fold, c, float(v)) for c, v in zip(features, model.featureImportances.toArray())], "fold int, name string, gain double")
         preds = test if preds is None else preds.unionByName(test)
         imps = gain if imps is None else imps.unionByName(gain)
     return preds, imps
+
+
+def score_panel(df: DataFrame, features: Sequence[str], model: Callable[[pd.DataFrame], pd.Series], out: str = "score") -> DataFrame:
+    """Scores of a user's fitted model, batch by batch; ``model`` maps a frame of the features to one number per row."""
+
+    @F.pandas_udf("double")
+    def scored(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(model(x), dtype="float64")
+
+    return df.withColumn(out, scored(F.struct(*features)))

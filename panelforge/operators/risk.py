@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,74 +238,7 @@ def screen(proposals: DataFrame, positions: DataFrame, state: DataFrame, lim: Li
     return decided.where("status <> 'REJECTED'")
 
 
-def rejected(decided: DataFrame) -> DataFrame:
-    return decided.where("status = 'REJECTED'")
-
-
-BOOK_SCHEMA = "pid string, tk string, direction string, sector string, proposed double, status string, limit_code string, approved_size double"
-
-
-def build_books(pool: DataFrame, lim: Limits = Limits(), max_positions: int = 45) -> DataFrame:
-    """Fill each book one candidate at a time, longs by place, then shorts; every acceptance changes the next check.
-
-    One group is one portfolio's pool, at most the slot limit of rows. Books start empty and fully in cash, so only
-    size, sector, cash, gross, net and mid-cap limits and eligibility can bind.
-    """
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["direction", "pos", "tk"], ignore_index=True)
-        total = {"long": 0.0, "short": 0.0, "mid": 0.0}
-        sectors: dict[tuple[str, str], float] = {}
-        accepted, rows = 0, []
-        for p in pdf.itertuples(index=False):
-            is_long, size, code = p.direction == "long", p.size, None
-
-            def room(value: float, bound: float, name: str, size: float, code: str | None):
-                """Shrink a size to the bound's headroom; below the minimum it becomes a rejection."""
-                if value + size <= bound:
-                    return size, code
-                left = bound - value
-                return (0.0, name) if left < lim.min_size else (left, code or name)
-
-            gross = total["long"] + total["short"]
-            cash = max(1.0 - gross, 0.0)
-            net = total["long"] - total["short"]
-            if accepted >= max_positions:
-                size, code = 0.0, "CAP"
-            elif not is_long and not p.eligible:
-                size, code = 0.0, "FO"
-            elif size < lim.min_size:
-                size, code = 0.0, "P6"
-            else:
-                cap = (lim.mid_long if p.is_midcap else lim.core_long) if is_long else lim.short
-                if size > cap:
-                    size, code = cap, ("P2" if p.is_midcap else "P1") if is_long else "P3"
-                fin = lim.sector_long_fin if p.sector in lim.financial else lim.sector_long
-                bound = fin if is_long else lim.sector_short
-                size, code = room(sectors.get((p.direction, p.sector), 0.0), bound, "S1" if is_long else "S2", size, code)
-                if size > 0 and cash - size < lim.cash_min:
-                    left = cash - lim.cash_min
-                    size, code = (0.0, "PT3") if left < lim.min_size else (left, code or "PT3")
-                elif size > 0 and gross + size > lim.gross_max:
-                    size, code = room(gross, lim.gross_max, "PT2", size, code)
-                elif size > 0:
-                    after = net + size if is_long else net - size
-                    if after > lim.net_max or (after < lim.net_min and total["long"] > 0 and not is_long):
-                        size, code = 0.0, "PT1"
-                if size > 0 and is_long and p.is_midcap and (total["mid"] + size) / (total["long"] + size) > lim.midcap_max:
-                    left = max((lim.midcap_max * total["long"] - total["mid"]) / (1 - lim.midcap_max), 0.0)
-                    size, code = (0.0 if left < lim.min_size else left), "PT4"
-            status = "REJECTED" if size == 0 else "REDUCED" if size < p.size else "APPROVED"
-            rows.append((p.pid, p.tk, p.direction, p.sector, p.size, status, code, size))
-            if size > 0:
-                accepted += 1
-                total[p.direction] += size
-                total["mid"] += size if is_long and p.is_midcap else 0.0
-                sectors[(p.direction, p.sector)] = sectors.get((p.direction, p.sector), 0.0) + size
-        names = ["pid", "tk", "direction", "sector", "proposed", "status", "limit_code", "approved_size"]
-        return pd.DataFrame(rows, columns=names)
-
-    cols = ("pid", "tk", "direction", "pos", "size", "sector", "is_midcap", "eligible")
-    # many small groups, heavy per group: adaptive coalescing by bytes would leave most cores idle
-    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pool.select(*cols).repartition(parts, "pid").groupBy("pid").applyInPandas(fill, BOOK_SCHEMA)
+def rejected(proposals: DataFrame, positions: DataFrame, state: DataFrame, lim: Limits = Limits()) -> DataFrame:
+    """Proposals that fail and the limit that stopped them; decisions are written first, as in :func:`screen`."""
+    decided = staged(decide(with_context(proposals, positions, state), lim), "decisions")
+    return decided.where("status = 'REJECTED'").select("pid", "tk", "direction", "size", "limit_code")

@@ -51,9 +51,9 @@ def blend(ranked: DataFrame, regimes: DataFrame) -> DataFrame:
     return df.withColumn("raw_score", w[0] * F.col("r1") + w[1] * F.col("r2") + w[2] * third)
 
 
-def shrink_by_tier(df: DataFrame) -> DataFrame:
+def shrink_by_tier(df: DataFrame, multipliers: dict[int, float] = TIER_MULT) -> DataFrame:
     """Pull the score towards neutral by the tier multiplier."""
-    mult = _lookup(F.col("tier"), TIER_MULT, UNKNOWN_TIER_MULT)
+    mult = _lookup(F.col("tier"), multipliers, UNKNOWN_TIER_MULT)
     return df.withColumn("score", NEUTRAL + (F.col("raw_score") - NEUTRAL) * mult)
 
 
@@ -82,10 +82,6 @@ def fill_vol(df: DataFrame, c: str = "vol") -> DataFrame:
     return df.withColumn(c, F.coalesce(F.col(c), med))
 
 
-def make_signals(ranked: DataFrame, regimes: DataFrame) -> DataFrame:
-    return final_signal(sector_override(shrink_by_tier(blend(ranked, regimes))))
-
-
 OUTCOMES = ("fwd_21", "fwd_63", "fwd_252")
 
 

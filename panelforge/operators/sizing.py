@@ -116,11 +116,11 @@ def sizes(pool: DataFrame, rules: BookRules = BookRules()) -> DataFrame:
     """
     vol = 0.5 * F.col("atr_pct") + 0.5 * F.coalesce("vol", "atr_pct")
     df = pool.withColumns({"_inv": 1.0 / F.greatest(vol, F.lit(rules.vol_floor)), "_conv": _conviction()})
-    norm = F.col("_conv") / F.sum("_conv").over(_pool()) * F.count(F.lit(1)).over(_pool())
+    norm = safe_ratio("_conv", F.sum("_conv").over(_pool())) * F.count(F.lit(1)).over(_pool())
     df = df.withColumn("_w", rules.inv_vol_weight * F.col("_inv") + (1 - rules.inv_vol_weight) * F.coalesce(norm, F.lit(0.0)))
     book = F.when(F.col("direction") == "long", rules.long_target).otherwise(rules.short_target)
     df = df.withColumns({"_target": F.least(book, F.col("deploy_cap")), "_cap": _caps(rules.cap_core, rules.cap_mid, rules.cap_short)})
-    df = df.withColumn("_size", F.least(F.col("_w") / F.sum("_w").over(_pool()) * F.col("_target"), F.col("_cap")))
+    df = df.withColumn("_size", F.least(F.coalesce(safe_ratio("_w", F.sum("_w").over(_pool())), F.lit(0.0)) * F.col("_target"), F.col("_cap")))
     df = df.withColumn("size", _scaled("_size", "_cap", "_target")).where(F.col("size") >= rules.min_size)
     return df.drop("_inv", "_conv", "_w", "_target", "_cap", "_size")
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 
 def r(x: str, n: int = 6) -> str:
-    """Same rounding as ``floor_round``."""
+    """Same rounding as ``floor_round`` for values of less than 2^52 units."""
     return f"(floor(({x})*1e{n}+0.5)/1e{n})"
 
 
@@ -103,4 +103,5 @@ view(
 _NET = """CAST(sum(CASE WHEN st='F' THEN amt ELSE 0 END) - sum(CASE WHEN st='O' THEN amt ELSE 0 END) AS DOUBLE) AS fii,
   CAST(sum(CASE WHEN st='P' THEN amt ELSE 0 END) - sum(CASE WHEN st='O' THEN amt ELSE 0 END) AS DOUBLE) AS dii"""
 view("flow_m", f"SELECT CAST(year(d) AS INT) AS y, CAST(month(d) AS INT) AS m, {_NET} FROM ofacts GROUP BY 1,2", "ofacts")
+view("flow_all", f"SELECT d, {_NET} FROM ofacts GROUP BY 1", "ofacts")
 view("flow_d", f"SELECT d, {_NET} FROM ofacts WHERE d >= DATE '2000-01-01' GROUP BY 1", "ofacts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.numeric import floor_round
+from panelforge.functions.numeric import floor_round, safe_ratio
 from panelforge.functions.staging import published
 from panelforge.functions.windows import Axis
 from panelforge.operators import backtest as BT
@@ -62,9 +62,7 @@ def weights(spark, sf):
 
 @published("nav")
 def nav(spark, sf):
-    # the test tables' prices jump far more than real ones: returns are scaled to a realistic size
-    scaled = returns(spark, sf).withColumn("ret", F.col("ret") * 0.02)
-    return BT.nav_series(weights(spark, sf), scaled, cost_bps=1.95).withColumn("nav", floor_round("nav", 6))
+    return BT.nav_series(weights(spark, sf), returns(spark, sf))
 
 
 @query("bt_clipped_returns", f"SELECT tk, d, {r('ret')} AS ret FROM dret", ("dret",))
@@ -131,31 +129,38 @@ view(
       JOIN wts w ON w.d=q.set_d AND w.tk=q.tk GROUP BY day),
     m AS (SELECT *, lag(end_d) OVER o AS le, lag(w) OVER o AS lw, lead(d) OVER o AS nd FROM wts WINDOW o AS (PARTITION BY tk ORDER BY d)),
     t AS (SELECT day, sum(t) AS turnover FROM (SELECT d AS day, abs(w - CASE WHEN le=d THEN lw ELSE 0 END) AS t FROM m UNION ALL SELECT end_d, CASE WHEN nd=end_d THEN 0 ELSE w END FROM m) WHERE day IS NOT NULL GROUP BY day)
-    SELECT day AS d, coalesce(gross,0)*0.02::DOUBLE - coalesce(turnover,0)*0.1::DOUBLE*19.5::DOUBLE/10000 AS ret FROM g FULL JOIN t USING (day)""",
+    SELECT day AS d, coalesce(gross,0) - coalesce(turnover,0)*19.5::DOUBLE/10000 AS ret FROM g FULL JOIN t USING (day)""",
     "dret", "wts",
 )
-view("nav", f"SELECT d, ret, {r('exp(sum(ln(1+ret)) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS nav FROM navraw", "navraw")
+view(
+    "nav",
+    """SELECT d, ret, CASE WHEN min(ret) OVER w > -1 THEN exp(sum(CASE WHEN ret > -1 THEN ln(1+ret) ELSE 0 END) OVER w) ELSE 0 END AS nav FROM navraw
+    WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "navraw",
+)
 
 
-@query("bt_nav", f"SELECT d, {r('ret')} AS ret, {r('nav', 4)} AS nav FROM nav", ("nav",))
+@query("bt_nav", f"SELECT d, {r('ret')} AS ret, {r('nav', 4)} AS nav, {r('CASE WHEN nav > 0 THEN ln(nav) END')} AS log_nav FROM nav", ("nav",))
 def bt_nav(spark, sf):
-    return nav(spark, sf).select("d", floor_round("ret").alias("ret"), floor_round("nav", 4).alias("nav"))
+    line = nav(spark, sf).withColumn("log_nav", F.when(F.col("nav") > 0, F.ln("nav")))
+    return line.select("d", floor_round("ret").alias("ret"), floor_round("nav", 4).alias("nav"), floor_round("log_nav").alias("log_nav"))
 
 
 view("navdd", "SELECT *, nav/max(nav) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)-1 AS dd, nav/lag(nav) OVER (ORDER BY d)-1 AS rr FROM nav", "nav")
-_M = ("total_return", "cagr", "vol_ann", "max_dd", "win_rate", "sharpe", "calmar")
+view("posdd", "SELECT d, sum(value)/nullif(sum(high_water),0) - 1 AS true_dd FROM paths WHERE is_open GROUP BY d", "paths")
+_M = ("total_return", "cagr", "vol_ann", "max_dd", "true_max_dd", "win_rate", "sharpe", "calmar", "true_calmar")
 
 
 @query(
     "perf_metrics",
     f"""SELECT start_date, end_date, days, {', '.join(f'{r(c, 5)} AS {c}' for c in _M)} FROM (SELECT *, CASE WHEN vol_ann > 0 THEN (cagr-0.065::DOUBLE)/vol_ann ELSE 0 END AS sharpe,
-    CASE WHEN max_dd <> 0 THEN cagr/abs(max_dd) ELSE 0 END AS calmar FROM (SELECT *, pow(1+total_return, 1/greatest(days/252.0::DOUBLE, 0.001)) - 1 AS cagr FROM (
+    CASE WHEN max_dd <> 0 THEN cagr/abs(max_dd) ELSE 0 END AS calmar, CASE WHEN true_max_dd IS NULL OR true_max_dd <> 0 THEN cagr/abs(true_max_dd) ELSE 0 END AS true_calmar FROM (SELECT *, pow(1+total_return, 1/greatest(days/252.0::DOUBLE, 0.001)) - 1 AS cagr FROM (
     SELECT min(d) AS start_date, max(d) AS end_date, count(rr) AS days, arg_max(nav, d)/arg_min(nav, d)-1 AS total_return, stddev_samp(rr)*sqrt(252.0::DOUBLE) AS vol_ann,
-    min(dd) AS max_dd, count(*) FILTER (WHERE rr > 0)/CAST(count(rr) AS DOUBLE) AS win_rate FROM navdd)))""",
-    ("navdd",),
+    min(dd) AS max_dd, min(true_dd) AS true_max_dd, count(*) FILTER (WHERE rr > 1e-12)/CAST(count(rr) AS DOUBLE) AS win_rate FROM navdd LEFT JOIN posdd USING (d))))""",
+    ("navdd", "posdd"),
 )
 def perf_metrics(spark, sf):
-    m = BT.metrics(nav(spark, sf))
+    m = BT.metrics(nav(spark, sf).join(BT.position_drawdown(paths(spark, sf)), "d", "left"))
     return m.select("start_date", "end_date", "days", *[floor_round(c, 5).alias(c) for c in _M])
 
 
@@ -200,38 +205,68 @@ def perf_rolling_sharpe(spark, sf):
     return BT.rolling_sharpe(nav(spark, sf)).withColumn("sharpe", floor_round("sharpe", 5))
 
 
-@query("perf_mc_drawdown")
+@query(
+    "perf_mc_drawdown",
+    f"""SELECT {', '.join(f"{r(f'quantile_cont(dd, {p})')} AS {n}" for n, p in (("p05", 0.05), ("median", 0.5), ("p95", 0.95)))},
+    {r('count(*) FILTER (WHERE dd <= (SELECT min(dd) FROM navdd))*100.0::DOUBLE/count(*)')} AS real_percentile FROM (SELECT sim, min(nav/top-1) AS dd FROM (
+    SELECT sim, o, nav, max(nav) OVER (PARTITION BY sim ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM (
+    SELECT sim, o, exp(sum(ln(1+rr)) OVER (PARTITION BY sim ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS nav FROM (
+    SELECT rr, sim, md5(CAST(d AS VARCHAR) || '|' || sim || '|42') AS o FROM navdd, range(1000) t(sim) WHERE rr IS NOT NULL))) GROUP BY sim)""",
+    ("navdd",),
+)
 def perf_mc_drawdown(spark, sf):
-    return BT.monte_carlo(nav(spark, sf).select("d", "nav"), 1000)
+    m = BT.monte_carlo(nav(spark, sf).select("d", "nav"), 1000)
+    return m.select(*[floor_round(c).alias(c) for c in m.columns])
 
 
 GRID = [{"buy": b, "k": k, "inv_vol": v} for b in (0.82, 0.83, 0.85, 0.87) for k in (15, 20, 25, 35) for v in (0.5, 0.6, 0.7)]
+_SETS = ", ".join(f"({i}, {g['buy']}::DOUBLE, {g['k']}, {g['inv_vol']}::DOUBLE)" for i, g in enumerate(GRID))
 
 
-@query("bt_param_grid")
+@query(
+    "bt_param_grid",
+    f"""WITH grid(param_id, buy, k, inv_vol) AS (VALUES {_SETS}),
+    best AS (SELECT q.d, q.end_d, s.tk, s.final_rank, 1/greatest(s.vol, 0.005::DOUBLE) AS inv, row_number() OVER (PARTITION BY q.d ORDER BY s.final_rank DESC, s.tk) AS pos
+      FROM (SELECT *, lead(d) OVER (ORDER BY d) AS end_d FROM sdate) q JOIN sig s ON s.d=q.signal_d),
+    kept AS (SELECT * FROM (SELECT g.*, b.*, count(*) FILTER (WHERE final_rank >= buy) OVER (PARTITION BY param_id, b.d) AS above FROM best b, grid g WHERE pos <= k) WHERE above < 3 OR final_rank >= buy),
+    w AS (SELECT param_id, d, end_d, tk, inv_vol*inv/sum(inv) OVER p + (1-inv_vol)*final_rank/sum(final_rank) OVER p AS w FROM kept WINDOW p AS (PARTITION BY param_id, d)),
+    g AS (SELECT param_id, day, sum(w*coalesce(ret,0)) AS gross FROM (SELECT x.tk, x.d AS day, x.ret, s.d AS set_d FROM dret x ASOF JOIN (SELECT DISTINCT d FROM w) s ON x.d > s.d) q
+      JOIN w ON w.d=q.set_d AND w.tk=q.tk GROUP BY 1, 2),
+    m AS (SELECT *, lag(end_d) OVER o AS le, lag(w) OVER o AS lw, lead(d) OVER o AS nd FROM w WINDOW o AS (PARTITION BY param_id, tk ORDER BY d)),
+    t AS (SELECT param_id, day, sum(t) AS turnover FROM (SELECT param_id, d AS day, abs(w - CASE WHEN le=d THEN lw ELSE 0 END) AS t FROM m
+      UNION ALL SELECT param_id, end_d, CASE WHEN nd=end_d THEN 0 ELSE w END FROM m) WHERE day IS NOT NULL GROUP BY 1, 2),
+    n AS (SELECT param_id, day AS d, exp(sum(ln(1+coalesce(gross,0) - coalesce(turnover,0)*19.5::DOUBLE/10000)) OVER (PARTITION BY param_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS nav
+      FROM g FULL JOIN t USING (param_id, day)),
+    e AS (SELECT param_id, pow(arg_max(nav, d)/arg_min(nav, d), 1/greatest(count(rr)/252.0::DOUBLE, 0.001)) - 1 AS cagr, stddev_samp(rr)*sqrt(252.0::DOUBLE) AS vol
+      FROM (SELECT *, nav/lag(nav) OVER (PARTITION BY param_id ORDER BY d) - 1 AS rr FROM n) GROUP BY 1)
+    SELECT CAST(param_id AS INT) AS param_id, buy, CAST(k AS INT) AS k, inv_vol, {r('cagr', 5)} AS cagr, {r('CASE WHEN vol > 0 THEN (cagr-0.065::DOUBLE)/vol ELSE 0 END', 5)} AS sharpe FROM e JOIN grid USING (param_id)""",
+    ("sdate", "sig", "dret"),
+)
 def bt_param_grid(spark, sf):
-    """All parameter sets in one job: selection and weights keyed by set, then one NAV per set."""
+    """All parameter sets in one job: the order of names does not depend on a set, so rows repeat only after the largest top-k."""
     reb = rebalances(spark, sf).select("d", "end_d", "signal_d")
     s = signals(spark, sf).select(F.col("d").alias("signal_d"), "tk", "final_rank", "vol").join(reb, "signal_d")
-    g = BT.with_grid(s, GRID)
+    first = Window.partitionBy("d").orderBy(F.desc("final_rank"), "tk")
+    best = s.withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= max(g["k"] for g in GRID))
     pool = Window.partitionBy("param_id", "d")
-    g = g.withColumn("pos", F.row_number().over(pool.orderBy(F.desc("final_rank"), "tk"))).where((F.col("pos") <= 35) & (F.col("pos") <= F.col("k")))
+    g = BT.with_grid(best, GRID).where("pos <= k")
     g = g.withColumn("_a", F.count_if(F.col("final_rank") >= F.col("buy")).over(pool)).where((F.col("_a") < 3) | (F.col("final_rank") >= F.col("buy")))
     inv = 1.0 / F.greatest(F.col("vol"), F.lit(0.005))
-    g = g.withColumn("_w", F.col("inv_vol") * inv / F.sum(inv).over(pool) + (1 - F.col("inv_vol")) * F.col("final_rank") / F.sum("final_rank").over(pool))
+    share = safe_ratio(inv, F.sum(inv).over(pool))
+    g = g.withColumn("_w", F.col("inv_vol") * share + (1 - F.col("inv_vol")) * F.coalesce(safe_ratio("final_rank", F.sum("final_rank").over(pool)), F.lit(0.0)))
     w = g.select("param_id", "d", "end_d", "tk", F.col("_w").alias("w"))
-    m = BT.metrics(BT.nav_series(w, returns(spark, sf).withColumn("ret", F.col("ret") * 0.02), ["param_id"], 1.95), ["param_id"])
+    m = BT.metrics(BT.nav_series(w, returns(spark, sf), ["param_id"]), ["param_id"])
     sets = BT.with_grid(spark.range(1).select("id"), GRID).drop("id")
-    return sets.join(m.select("param_id", "cagr", "sharpe"), "param_id").orderBy(F.desc("cagr"))
+    return sets.join(m.select("param_id", floor_round("cagr", 5).alias("cagr"), floor_round("sharpe", 5).alias("sharpe")), "param_id")
 
 
 @query(
     "dq_date_overlap",
-    """SELECT (SELECT count(DISTINCT d) FROM sig) AS n_a, (SELECT count(*) FROM dts) AS n_b, (SELECT count(*) FROM dts WHERE d IN (SELECT d FROM sig)) AS n_both, CAST(0 AS BIGINT) AS n_duplicates""",
-    ("sig", "dts"),
+    """SELECT (SELECT count(DISTINCT d) FROM sig) AS n_a, (SELECT count(*) FROM dts) AS n_b, (SELECT count(*) FROM dts WHERE d IN (SELECT d FROM sig)) AS n_both, (SELECT count(*) FROM (SELECT d FROM paths GROUP BY d HAVING count(*) > 1)) AS n_duplicates""",
+    ("sig", "dts", "paths"),
 )
 def dq_date_overlap(spark, sf):
-    return BT.date_overlap(signals(spark, sf), P.bars(spark, sf), nav(spark, sf))
+    return BT.date_overlap(signals(spark, sf), P.bars(spark, sf), paths(spark, sf))
 
 
 @query(

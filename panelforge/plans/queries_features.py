@@ -284,6 +284,17 @@ def cs_norm_apply(spark, sf):
     return _round(X.apply_daily_stats(df, stats, _FIT), _FIT)
 
 
+@query(
+    "cs_norm_overall",
+    "WITH o AS (SELECT " + ", ".join(f"avg({p}_{c}) AS {p}_{c}" for c in _FIT for p in ("mean", "std")) + " FROM csfit) SELECT tk, d, "
+    + ", ".join(f"{r(f'coalesce(({c}-mean_{c})/nullif(std_{c},0), {c})')} AS {c}" for c in _FIT) + " FROM feat, o",
+    ("feat", "csfit"),
+)
+def cs_norm_overall(spark, sf):
+    df = norm_input(spark, sf)
+    return _round(X.apply_overall_stats(df, X.fit_daily_stats(df, _FIT), _FIT), _FIT)
+
+
 @query(
     "dq_rank_coverage",
     f"""WITH k AS (SELECT {rank_sql('v21', 'd', 2)} AS a, {rank_sql('v12', 'd', 2)} AS b FROM feat_r)

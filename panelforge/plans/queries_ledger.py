@@ -75,6 +75,15 @@ view(
 )
 
 
+@query(
+    "led_committed",
+    "SELECT pid FROM (SELECT pid, count(*) AS have FROM lbook GROUP BY 1) JOIN (SELECT pid, count(*) AS want FROM lprop GROUP BY 1) USING (pid) WHERE have >= want*0.8::DOUBLE",
+    ("lbook", "lprop"),
+)
+def led_committed(spark, sf):
+    return LG.already_committed(book(spark, sf), proposed(spark, sf))
+
+
 @query("led_close_flags", "SELECT pid, tk, reason FROM lflag", ("lflag",))
 def led_close_flags(spark, sf):
     return LG.close_flags(book(spark, sf), proposed(spark, sf)).select("pid", "tk", "reason")
@@ -119,11 +128,18 @@ def led_balances(spark, sf):
     return LG.deployed(book(spark, sf)).select(floor_round(cash, 2).alias("cash"), floor_round("deployed", 1).alias("deployed"))
 
 
-@query("led_seed", "SELECT (SELECT count(*) FROM lreal WHERE net_pnl<>0) AS n_full, CAST(1 AS BIGINT) AS n_empty", ("lreal",))
+@query(
+    "led_seed",
+    """SELECT 'full' AS ledger, t AS tx_date, 'pnl_credit' AS tx_type, net_pnl AS amount, pid || ' ' || tk || ' ' || direction AS reference FROM lreal WHERE net_pnl <> 0
+    UNION ALL SELECT 'empty', DATE '1995-01-01', 'initial', 1e7::DOUBLE, 'seed' WHERE (SELECT count(*) FROM lreal WHERE net_pnl > 1e15) = 0""",
+    ("lreal",),
+)
 def led_seed(spark, sf):
+    """A ledger with rows stays as it is, one without rows gets its first."""
     rows = LG.credits(realised(spark, sf))
-    full = LG.seed_ledger(rows, first_row(spark)).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return LG.seed_ledger(rows.where("tx_type = 'initial'"), first_row(spark)).agg(F.count(F.lit(1)).alias("n_empty")).withColumn("n_full", full)
+    cols = ["tx_date", "tx_type", "amount", "reference"]
+    full = LG.seed_ledger(rows, first_row(spark)).select(F.lit("full").alias("ledger"), *cols)
+    return full.unionByName(LG.seed_ledger(rows.where("amount > 1e15"), first_row(spark)).select(F.lit("empty").alias("ledger"), *cols))
 
 
 @query(

@@ -23,6 +23,11 @@ view(
 view("mac_best", "SELECT *, CASE WHEN flow_flag='daily' THEN fii_d ELSE fii_m END AS flow_best FROM mac", "mac")
 
 
+@query("macro_rescale", f"SELECT d, {r('ix50*0.01::DOUBLE')} AS ix50 FROM macro", ("macro",))
+def macro_rescale(spark, sf):
+    return P.macro(spark, sf).select("d", floor_round(M.rescale("ix50", 0.01)).alias("ix50"))
+
+
 def macro_full(spark, sf):
     """Market series with policy rate and flows, one row per date."""
     base = M.attach_low_frequency(P.macro(spark, sf), P.policy(spark, sf), ["rate"])

@@ -112,13 +112,18 @@ view(
     """SELECT CAST(row_number() OVER (ORDER BY i DESC) AS INT) AS fold, train_start, train_end, test_start, test_end FROM (
     SELECT *, CAST(train_end - INTERVAL 24 MONTH AS DATE) AS train_start FROM (SELECT *, test_start - 21 AS train_end FROM (
     SELECT *, CAST(test_end - INTERVAL 6 MONTH AS DATE) AS test_start FROM (SELECT i, lo, CAST(hi - to_months(CAST(6*i AS INT)) AS DATE) AS test_end FROM
-    (SELECT min(d) AS lo, max(d) AS hi FROM mlb), range(8) t(i))))) WHERE train_start >= lo""",
-    "mlb",
+    (SELECT min(d) AS lo, max(d) AS hi FROM mls WHERE part='train'), range(8) t(i))))) WHERE train_start >= lo""",
+    "mls",
 )
 
 
+def training(spark, sf):
+    """Rows before the holdout date: everything that is fitted or cut into folds."""
+    return split(spark, sf).where("part = 'train'").drop("part")
+
+
 def folds(spark, sf):
-    return ML.walk_forward_folds(base(spark, sf), 8, 6, 21, 2)
+    return ML.walk_forward_folds(training(spark, sf), 8, 6, 21, 2)
 
 
 @query("ml_folds", "SELECT * FROM folds", ("folds",))
@@ -126,14 +131,21 @@ def ml_folds(spark, sf):
     return folds(spark, sf)
 
 
+view(
+    "frows",
+    """SELECT fold, 'train' AS part, mls.* EXCLUDE (part) FROM mls JOIN folds ON d >= train_start AND d < train_end WHERE mls.part = 'train'
+    UNION ALL SELECT fold, 'test', mls.* EXCLUDE (part) FROM mls JOIN folds ON d >= test_start AND d < test_end WHERE mls.part = 'train'""",
+    "mls", "folds",
+)
+
+
 @query(
     "ml_fold_counts",
-    """SELECT fold, 'train' AS part, count(*) AS n FROM mlb JOIN folds ON d >= train_start AND d < train_end GROUP BY fold
-    UNION ALL SELECT fold, 'test', count(*) FROM mlb JOIN folds ON d >= test_start AND d < test_end GROUP BY fold""",
-    ("mlb", "folds"),
+    "SELECT fold, part, count(*) AS n FROM frows GROUP BY fold, part",
+    ("frows",),
 )
 def ml_fold_counts(spark, sf):
-    return ML.assign_folds(base(spark, sf), folds(spark, sf)).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"))
+    return ML.assign_folds(training(spark, sf), folds(spark, sf)).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -152,13 +164,18 @@ def ml_eligible_keys(spark, sf):
 
 @query(
     "ml_sequences",
-    """SELECT tk, d, target, 60 AS n, CAST(list_first(a) AS DOUBLE) AS oldest, CAST(list_last(b) AS DOUBLE) AS newest FROM (SELECT tk, d, target, list(CAST(return_21d AS FLOAT)) OVER w AS a, list(CAST(vol_ok AS FLOAT)) OVER w AS b
+    """SELECT tk, d, target, len(a) AS n, md5(array_to_string(a, ',')) AS content FROM (SELECT tk, d, target,
+    list(coalesce(CAST(CAST(CAST(round(return_21d*1e6) AS FLOAT) AS BIGINT) AS VARCHAR), 'x') || ':' || CAST(vol_ok AS VARCHAR)) OVER w AS a
     FROM mlb WINDOW w AS (PARTITION BY tk ORDER BY d ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) WHERE len(a)=60 AND target IS NOT NULL""",
     ("mlb",),
 )
 def ml_sequences(spark, sf):
-    s = ML.sequences(base(spark, sf), ["return_21d", "vol_ok"], ["target"], 60)
-    return s.select("tk", "d", "target", F.size("seq").alias("n"), F.col("seq")[0][0].cast("double").alias("oldest"), F.col("seq")[59][1].cast("double").alias("newest"))
+    """Whole sequences, as a digest of all their values (returns in millionths)."""
+    b = base(spark, sf).withColumn("millionths", F.round(F.col("return_21d") * 1e6))
+    s = ML.sequences(b, ["millionths", "vol_ok"], ["target"], 60)
+    step = lambda x: F.concat(F.coalesce(x[0].cast("long").cast("string"), F.lit("x")), F.lit(":"), x[1].cast("int").cast("string"))
+    content = F.md5(F.array_join(F.transform("seq", step), ",").cast("binary"))
+    return s.select("tk", "d", "target", F.size("seq").cast("long").alias("n"), content.alias("content"))
 
 
 @query(
@@ -224,24 +241,112 @@ def eval_ic_monthly(spark, sf):
     "dq_ml_checks",
     f"""SELECT 'train_before_holdout' AS name, max(CASE WHEN part='train' THEN d END) < DATE '{HOLD}' AS passed FROM mls UNION ALL SELECT 'prediction_floor', min(pred) > -1.15 FROM mls
     UNION ALL SELECT 'prediction_ceiling', max(pred) < 1.15 FROM mls UNION ALL SELECT 'no_missing_prediction', count(*) FILTER (WHERE pred IS NULL) = 0 FROM mls
-    UNION ALL SELECT 'purge_gap', count(*) FILTER (WHERE train_end >= test_start) = 0 FROM folds""",
+    UNION ALL SELECT 'purge_gap', count(*) FILTER (WHERE train_end >= test_start) = 0 FROM folds
+    UNION ALL SELECT 'folds_before_holdout', count(*) FILTER (WHERE test_end > DATE '{HOLD}') = 0 FROM folds""",
     ("mls", "folds"),
 )
 def dq_ml_checks(spark, sf):
     return ML.checks(split(spark, sf), folds(spark, sf), "pred", hold(), (-1.15, 1.15))
 
 
-def _fit(spark, sf):
-    rows = ML.assign_folds(split(spark, sf).drop("part"), folds(spark, sf))
-    return ML.fit_folds(rows, ["return_21d", "volatility_20d", "mom_12_1"], "target", [1, 2], trees=5, depth=3)
+FEATURES = ("return_21d", "volatility_20d", "mom_12_1")
+#: Size of the test forest; the operator's arguments take the published 1000 trees of depth 6.
+TREES, DEPTH = 20, 4
+
+
+@published("fold_rows")
+def fold_rows(spark, sf):
+    return ML.prepare_folds(ML.assign_folds(training(spark, sf), folds(spark, sf)), FEATURES, FLAGS)
+
+
+def _prepared(c, flag=None, miss=None):
+    """Long rows of one feature, prepared per fold."""
+    fill = f"CASE WHEN {flag}={miss} AND {c} IS NULL THEN coalesce(med, 0) ELSE {c} END" if flag else c
+    med = f"(SELECT median({c}) FROM frows t WHERE t.fold=f.fold AND t.part='train' AND t.{flag}={1 - miss})" if flag else "NULL"
+    return f"""SELECT fold, part, tk, d, '{c}' AS name, {fill} AS x FROM frows JOIN (SELECT fold, {med} AS med FROM (SELECT DISTINCT fold FROM frows) f) USING (fold)"""
+
+
+view("fimp", " UNION ALL ".join((_prepared("volatility_20d", "vol_ok", 0), _prepared("return_21d", "gap", 1), _prepared("mom_12_1", "gap", 1))), "frows")
+view(
+    "fwin",
+    """SELECT i.fold, i.part, tk, d, i.name, CASE WHEN x < lo THEN lo WHEN x > hi THEN hi ELSE x END AS x FROM fimp i JOIN (
+    SELECT fold, part, name, max(CASE WHEN k = floor(0.01::DOUBLE*n) THEN x END) AS lo, max(CASE WHEN k = n-1-floor(0.01::DOUBLE*n) THEN x END) AS hi FROM (
+    SELECT fold, part, name, x, row_number() OVER (PARTITION BY fold, part, name ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY fold, part, name) AS n FROM (
+    SELECT fold, part, name, coalesce(x, median(x) OVER (PARTITION BY fold, part, name)) AS x FROM fimp)) GROUP BY 1, 2, 3) b ON i.fold=b.fold AND i.part=b.part AND i.name=b.name""",
+    "fimp",
+)
+
+
+@query(
+    "ml_fold_prep",
+    f"""SELECT fold, part, tk, d, {', '.join(f"max(CASE WHEN name='{c}' THEN z END) AS {c}" for c in FEATURES)} FROM (
+    SELECT w.fold, part, tk, d, w.name, {r('(x-m)/CASE WHEN s > 0 THEN s ELSE 1 END')} AS z FROM fwin w JOIN (
+    SELECT fold, name, avg(x) AS m, stddev_pop(x) AS s FROM fwin WHERE part='train' GROUP BY 1, 2) t ON w.fold=t.fold AND w.name=t.name) GROUP BY 1, 2, 3, 4""",
+    ("fwin",),
+)
+def ml_fold_prep(spark, sf):
+    return fold_rows(spark, sf).select("fold", "part", "tk", "d", *[floor_round(c).alias(c) for c in FEATURES])
+
+
+@published("walk_forward")
+def walk_forward(spark, sf):
+    """Predictions (with a date) and importances (with a name) of every fold, fitted once."""
+    rows = fold_rows(spark, sf)
+    fitted = [x.fold for x in folds(spark, sf).orderBy("fold").collect()]
+    preds, gains = ML.fit_folds(rows, FEATURES, "target", fitted, trees=TREES, depth=DEPTH)
+    return preds.unionByName(gains, allowMissingColumns=True)
 
 
 @query("ml_walk_forward")
 def ml_walk_forward(spark, sf):
-    return _fit(spark, sf)[0]
+    return walk_forward(spark, sf).where("d IS NOT NULL").select("tk", "d", "fold", "target", "prediction")
+
+
+@query(
+    "ml_walk_forward_coverage",
+    "SELECT fold, count(*) AS n_test, count(*) AS n_predicted, count(DISTINCT tk || ' ' || CAST(d AS VARCHAR)) AS n_keys, true AS in_range FROM frows WHERE part='test' GROUP BY fold",
+    ("frows",),
+)
+def ml_walk_forward_coverage(spark, sf):
+    """Every test row of every fold has one prediction, inside the range of the fold's training targets."""
+    rows = fold_rows(spark, sf)
+    tests = rows.where("part = 'test'").groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"))
+    seen = rows.where("part = 'train'").groupBy("fold").agg(F.min("target").alias("lo"), F.max("target").alias("hi"))
+    told = ml_walk_forward(spark, sf).groupBy("fold").agg(
+        F.count("prediction").alias("n_predicted"), F.count_distinct("tk", "d").alias("n_keys"), F.min("prediction").alias("a"), F.max("prediction").alias("b")
+    )
+    return tests.join(told, "fold").join(seen, "fold").select("fold", "n_test", "n_predicted", "n_keys", ((F.col("a") >= F.col("lo")) & (F.col("b") <= F.col("hi"))).alias("in_range"))
 
 
 @query("ml_importance")
 def ml_importance(spark, sf):
-    imp = _fit(spark, sf)[1].groupBy("name").agg(F.avg("gain").alias("mean_gain"))
+    imp = walk_forward(spark, sf).where("name IS NOT NULL").groupBy("name").agg(F.avg("gain").alias("mean_gain"))
     return imp.orderBy(F.desc("mean_gain")).limit(30)
+
+
+@query(
+    "ml_score_panel",
+    f"SELECT tk, d, {r('0.5::DOUBLE*coalesce(return_21d,0) - 2.0::DOUBLE*coalesce(volatility_20d,0) + 0.25::DOUBLE*coalesce(mom_12_1,0)')} AS score FROM mlb",
+    ("mlb",),
+)
+def ml_score_panel(spark, sf):
+    model = lambda x: 0.5 * x["return_21d"].fillna(0.0) - 2.0 * x["volatility_20d"].fillna(0.0) + 0.25 * x["mom_12_1"].fillna(0.0)
+    return ML.score_panel(base(spark, sf), FEATURES, model).select("tk", "d", floor_round("score").alias("score"))
+
+
+@query("ml_feature_columns", "SELECT unnest(['return_21d', 'volatility_20d', 'mom_12_1', 'pred', 'vol_ok']) AS name", ())
+def ml_feature_columns(spark, sf):
+    b = base(spark, sf)
+    names = ML.feature_columns(b, ["tier", "target", "gap"])
+    return b.limit(0).groupBy().agg(F.array(*[F.lit(n) for n in names]).alias("n")).select(F.explode("n").alias("name"))
+
+
+@query(
+    "eval_ic_decay",
+    f"""SELECT {r('(a-b)/nullif(abs(a),0)')} AS decay FROM (SELECT avg(ic) FILTER (WHERE d < DATE '{HOLD}') AS a, avg(ic) FILTER (WHERE d >= DATE '{HOLD}') AS b FROM icd)""",
+    ("icd",),
+)
+def eval_ic_decay(spark, sf):
+    ic = ML.daily_ic(base(spark, sf), "target", "pred")
+    before = F.avg(F.when(F.col("d") < hold(), F.col("ic")))
+    return ic.agg(floor_round(ML.ic_decay(before, F.avg(F.when(F.col("d") >= hold(), F.col("ic"))))).alias("decay"))

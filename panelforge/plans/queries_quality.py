@@ -143,6 +143,12 @@ def regimes(spark, sf, mkt=None):
     return s.join(R.label_states(R.state_stats(s)), "state")
 
 
+@query("regime_of_day", "SELECT d, coalesce(regime_int, 3) AS regime_int FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) LEFT JOIN reg USING (d)", ("reg",))
+def regime_of_day(spark, sf):
+    days = P.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d"))
+    return R.regime_of_day(regimes(spark, sf), days)
+
+
 @published("regimes")
 def regimes_table(spark, sf):
     return regimes(spark, sf)

@@ -204,19 +204,14 @@ def risk_decision(spark, sf):
     return out.select("pid", "tk", "direction", "size", "status", "limit_code", floor_round("approved_size").alias("approved_size"))
 
 
+@query("risk_rejected", "SELECT pid, tk, limit_code FROM rdec WHERE status = 'REJECTED'", ("rdec",))
+def risk_rejected(spark, sf):
+    pos, prop, st = risk_frames(spark, sf)
+    return RK.rejected(prop, pos, st, LIM).select("pid", "tk", "limit_code")
+
+
 @query("risk_screen", "SELECT pid, tk, status, approved_size FROM rdec WHERE status <> 'REJECTED'", ("rdec",))
 def risk_screen(spark, sf):
     pos, prop, st = risk_frames(spark, sf)
     out = RK.screen(prop, pos, st, LIM)
     return out.select("pid", "tk", "status", floor_round("approved_size").alias("approved_size"))
-
-
-@query("risk_book_build")
-def risk_book_build(spark, sf):
-    s = Z.sizes(pool(spark, sf))
-    ok = P.eligible(spark, sf).withColumn("ok", F.lit(True))
-    books = s.join(ok, "tk", "left").select(
-        F.col("d").cast("string").alias("pid"), "tk", "direction", "pos", "size", "sector", F.col("tier").isin(2, 3).alias("is_midcap"),
-        F.coalesce("ok", F.lit(False)).alias("eligible"),
-    )
-    return RK.build_books(books, LIM)

@@ -83,14 +83,23 @@ def sig_model_ranks(spark, sf):
     return m.select("tk", "d", *[floor_round(c).alias(c) for c in ("r1", "r2", "r3")])
 
 
+@query("sig_missing_scores", "SELECT tk, d, s1, s2, s3, 0.0::DOUBLE AS s4 FROM scores", ("scores",))
+def sig_missing_scores(spark, sf):
+    return SG.add_missing_scores(scores(spark, sf), ("s1", "s2", "s3", "s4")).select("tk", "d", "s1", "s2", "s3", "s4")
+
+
 @query("sig_blend", f"SELECT tk, d, regime_int, {r('raw_score')} AS raw_score FROM sblend", ("sblend",))
 def sig_blend(spark, sf):
     return blended(spark, sf).select("tk", "d", "regime_int", floor_round("raw_score").alias("raw_score"))
 
 
-@query("sig_tier_shrink", f"SELECT tk, d, {r('0.5::DOUBLE + (raw_score-0.5::DOUBLE)*1.0')} AS score FROM sblend", ("sblend",))
+@query(
+    "sig_tier_shrink",
+    f"SELECT tk, d, {r('0.5::DOUBLE + (raw_score-0.5::DOUBLE)*CASE tier WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END')} AS score FROM sblend",
+    ("sblend",),
+)
 def sig_tier_shrink(spark, sf):
-    return SG.shrink_by_tier(blended(spark, sf)).select("tk", "d", floor_round("score").alias("score"))
+    return SG.shrink_by_tier(blended(spark, sf), {1: 1.0, 2: 0.8}).select("tk", "d", floor_round("score").alias("score"))
 
 
 @query("sig_tier_c_override", f"SELECT tk, d, tier, {r('score')} AS score FROM sover", ("sover",))

@@ -5,10 +5,9 @@ Files that the readers need are written by Spark from the given tables first.
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
-from panelforge.functions.numeric import clean_number, floor_round, period_start
+from panelforge.functions.numeric import bare_ticker, clean_number, coerce_numeric, floor_round, period_start
 from panelforge.functions.staging import stage_path
 from panelforge.functions.windows import Axis
 from panelforge.operators import features as E
@@ -86,6 +85,27 @@ def sink_tier_export(spark, sf):
     return S.read_latest(spark, root)
 
 
+@query("sink_replace", "SELECT p_partkey, p_brand FROM part WHERE p_size >= 10")
+def sink_replace(spark, sf):
+    """The second load stays, whatever the first one held."""
+    part, path = P.table(spark, sf, "part").select("p_partkey", "p_brand", "p_size"), scratch(spark, "replace")
+    TB.replace_table(part.where("p_size < 10").select("p_partkey", "p_brand"), path)
+    TB.replace_table(part.where("p_size >= 10").select("p_partkey", "p_brand"), path)
+    return spark.read.parquet(path)
+
+
+@query("src_coerced", "SELECT CAST(p_partkey AS DOUBLE) AS number, p_brand AS brand, TRY_CAST(replace(p_brand, 'Brand#', '') AS DOUBLE) AS tail, TRY_CAST(p_type AS DOUBLE) AS kind FROM part")
+def src_coerced(spark, sf):
+    t = P.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("number"), F.col("p_brand").alias("brand"), F.replace("p_brand", F.lit("Brand#"), F.lit("")).alias("tail"), F.col("p_type").alias("kind"))
+    return coerce_numeric(t, ("brand",))
+
+
+@query("src_bare_ticker", "SELECT DISTINCT p_brand || '.NS' AS ticker, p_brand AS bare, p_brand AS plain FROM part")
+def src_bare_ticker(spark, sf):
+    t = P.table(spark, sf, "part").select(F.concat("p_brand", F.lit(".NS")).alias("ticker"), "p_brand").distinct()
+    return t.select("ticker", bare_ticker("ticker").alias("bare"), bare_ticker("p_brand").alias("plain"))
+
+
 @query("json_parse_monthly", "SELECT y, m, fii AS net FROM flow_m WHERE fii IS NOT NULL", ("flow_m",))
 def json_parse_monthly(spark, sf):
     f = P.flow_monthly(spark, sf)
@@ -94,11 +114,16 @@ def json_parse_monthly(spark, sf):
     return S.parse_monthly(payload)
 
 
-@query("json_infer_year", "SELECT 'fii' AS feed, d, fii AS net FROM flow_d", ("flow_d",))
+@query(
+    "json_infer_year",
+    "SELECT CAST(year(d) // 3 AS INT) AS feed, d, fii AS net FROM flow_all",
+    ("flow_all",),
+)
 def json_infer_year(spark, sf):
-    f = P.flow_daily(spark, sf)
+    """All order days, one payload for every three years."""
+    f = P.flow_days(spark, sf)
     item = F.struct(F.date_format("d", "MMM d").alias("DateText"), F.col("fii").alias("NetValue"))
-    listed = f.groupBy(F.lit("fii").alias("feed")).agg(
+    listed = f.groupBy(F.floor(F.year("d") / 3).cast("int").alias("feed")).agg(
         F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("d", item.alias("i"))))), lambda x: x["i"]).alias("a"), F.max("d").alias("asof")
     )
     return S.parse_daily(listed.select("feed", "asof", F.to_json("a").alias("payload")), "feed", F.col("asof"))

@@ -145,6 +145,10 @@ def flow_monthly(spark: SparkSession, sf: str) -> DataFrame:
     return order_facts(spark, sf).groupBy(F.year("d").alias("y"), F.month("d").alias("m")).agg(*net)
 
 
+def flow_days(spark: SparkSession, sf: str) -> DataFrame:
+    return order_facts(spark, sf).groupBy("d").agg(*_net_flows())
+
+
 def flow_daily(spark: SparkSession, sf: str) -> DataFrame:
     """Daily flows exist from 2000 on."""
     return order_facts(spark, sf).where("d >= date'2000-01-01'").groupBy("d").agg(*_net_flows())

@@ -1,12 +1,16 @@
 """Operator behaviour on small frames: invariants, edge cases and independent re-computation."""
 
 import datetime as dt
+import random
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.functions.numeric import half_even
+from panelforge.functions.asof import asof_join
+from panelforge.functions.numeric import floor_round, half_even
+from panelforge.functions.staging import published
 from panelforge.functions.windows import Axis
 from panelforge.operators import backtest as BT
 from panelforge.operators import features as E
@@ -111,18 +115,6 @@ def test_risk_decision_order(spark):
     }
 
 
-def test_book_build_respects_limits(spark):
-    pool = spark.createDataFrame(
-        [("p", f"l{i}", "long", i, 0.07, f"S{i % 3}", i % 2 == 0, True) for i in range(20)] + [("p", f"s{i}", "short", i, 0.03, "S0", False, i != 1) for i in range(4)],
-        "pid string, tk string, direction string, pos int, size double, sector string, is_midcap boolean, eligible boolean")
-    book = RK.build_books(pool).toPandas()
-    assert len(book) == 24
-    ok = book[book.status != "REJECTED"]
-    longs = ok[ok.direction == "long"]
-    assert (longs.groupby("sector").approved_size.sum() <= 0.30 + 1e-9).all() and ok.approved_size.sum() <= 0.95 + 1e-9
-    assert (ok.approved_size >= 0.005).all() and book.set_index("tk").loc["s1", "limit_code"] == "FO"
-
-
 def test_zipped_and_plain_bar_files(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "day.zip", "w") as z:
         z.writestr("a.csv", "TckrSymb,SctySrs,OpnPric,HghPric,LwPric,ClsPric,TtlTradgVol\nAAA,EQ,1,2,0.5,1.5,100\nBBB,BE,1,2,0.5,1.5,5\n")
@@ -138,3 +130,61 @@ def test_daily_payload_year_rollover(spark):
     df = spark.createDataFrame([("f", payload)], "feed string, payload string")
     got = rows(S.parse_daily(df, "feed", F.lit("2024-01-03").cast("date")), "d", "net")
     assert got == [(dt.date(2023, 1, 5), 3.0), (dt.date(2023, 12, 31), 2.0), (dt.date(2024, 1, 2), 1.0)]
+
+
+def test_a_lost_book_stays_lost(spark):
+    days = [dt.date(2024, 1, i) for i in range(1, 7)]
+    ret = dict(zip(days, [0.0, 0.1, -0.6, 0.5, 0.2, 0.1]))
+    returns = spark.createDataFrame([("a", d, r) for d, r in ret.items()], "tk string, d date, ret double")
+    weights = spark.createDataFrame([(days[0], None, "a", 2.0)], "d date, end_d date, tk string, w double")
+    nav = {r.d: round(r.nav, 6) for r in BT.nav_series(weights, returns, cost_bps=0.0).collect()}
+    assert nav == {days[0]: 1.0, days[1]: 1.2, days[2]: 0.0, days[3]: 0.0, days[4]: 0.0, days[5]: 0.0}
+    m = BT.metrics(spark.createDataFrame(list(nav.items()), "d date, nav double")).first()
+    assert m.total_return == -1.0 and m.max_dd == -1.0 and m.true_max_dd is None
+
+
+def test_forward_match_cost_per_row_is_flat(spark):
+    def seconds(n):
+        left = spark.range(n * 8).select((F.col("id") % 8).alias("k"), F.floor(F.col("id") / 8).alias("t"))
+        right = spark.range(8).select(F.col("id").alias("k"), F.lit(n).cast("long").alias("u"), F.lit(1).alias("x"))
+        start = time.perf_counter()
+        out = asof_join(left, right, ["k"], "t", "u", ["x"], direction="forward", left_unique=True)
+        assert out.where("x = 1").count() == n * 8
+        return time.perf_counter() - start
+
+    seconds(2500)
+    assert seconds(20_000) < 8 * max(seconds(2500), 0.5)
+
+
+def test_fold_models_score_every_test_row(spark):
+    rng = random.Random(4)
+    rows = [(f"k{i % 5}", dt.date(2020, 1, 1) + dt.timedelta(days=i), f, part, 1, x if (x := rng.gauss(0, 1)) > -1.5 else None, 2 * (x or 0) + 0.01 * i)
+            for f in (1, 2) for i, part in enumerate(["train"] * 80 + ["test"] * 20)]
+    df = spark.createDataFrame(rows, "tk string, d date, fold int, part string, ok int, x double, y double")
+    ready = ML.prepare_folds(df, ["x"], {"ok": (0, ["x"])})
+    train = ready.where("fold = 1 AND part = 'train' AND x IS NOT NULL").agg(F.avg("x"), F.stddev_pop("x")).first()
+    assert abs(train[0]) < 1e-9 and abs(train[1] - 1) < 1e-9
+    preds, gains = ML.fit_folds(ready, ["x"], "y", [1, 2], trees=3, depth=3)
+    assert preds.where("prediction IS NOT NULL").count() == 40 and gains.count() == 2
+    try:
+        ML.feature_columns(df.withColumn("target_x", F.lit(1.0)), [])
+        raise AssertionError("a target passed as a feature")
+    except ValueError:
+        pass
+
+
+def test_large_values_are_not_cut_by_rounding(spark):
+    got = spark.range(1).select(floor_round(F.lit(1.5e15), 6).alias("a"), floor_round(F.lit(-3e20), 4).alias("b"), floor_round(F.lit(1.23456789), 6).alias("c")).first()
+    assert (got.a, got.b, got.c) == (1.5e15, -3e20, 1.234568)
+
+
+def test_published_steps_follow_their_input(spark, tmp_path):
+    @published("probe")
+    def probe(s, folder):
+        return s.read.parquet(f"{folder}/t.parquet")
+
+    folder = str(tmp_path)
+    spark.range(3).write.parquet(f"{folder}/t.parquet")
+    assert probe(spark, folder).count() == 3 and probe(spark, folder) is probe(spark, folder)
+    spark.range(5).write.mode("append").parquet(f"{folder}/t.parquet")
+    assert probe(spark, folder).count() == 8
