@@ -11,29 +11,36 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from panelforge.functions.numeric import nullify_nan
 from panelforge.functions.windows import Axis
 
-Step = tuple[Sequence[str], Callable[[pd.DataFrame], dict[str, pd.Series]]]
+#: Output columns, input columns, and the function from the inputs in date order to the outputs.
+Step = tuple[Sequence[str], Sequence[str], Callable[[pd.DataFrame], dict[str, pd.Series]]]
 
 
 def grouped(df: DataFrame, axis: Axis, steps: Sequence[Step]) -> DataFrame:
-    """Add double columns computed per entity in date order; all steps share one pass over the data."""
-    added = [name for names, _ in steps for name in names]
+    """Add double columns computed per entity in date order; all steps share one pass over the data.
+
+    Rows stay in Arrow; only the steps' inputs become pandas columns.
+    """
+    added = [name for names, _, _ in steps for name in names]
+    inputs = list(dict.fromkeys(c for _, needed, _ in steps for c in needed))
     schema = T.StructType(df.schema.fields + [T.StructField(c, T.DoubleType()) for c in added])
-    on, order = axis.on, [f.name for f in schema.fields]
+    on = axis.on
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(on, ignore_index=True)
-        for _, fn in steps:
-            pdf = pdf.assign(**fn(pdf))
-        out = pdf[order]
-        return out.assign(**{c: out[c].replace([np.inf, -np.inf], np.nan) for c in added})
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(on)
+        pdf = rows.select(inputs).to_pandas()
+        for _, _, fn in steps:
+            for name, values in fn(pdf).items():
+                x = values.to_numpy(dtype="float64", na_value=np.nan)
+                rows = rows.append_column(name, pa.array(x, pa.float64(), mask=~np.isfinite(x)))
+        return rows
 
-    return nullify_nan(df.groupBy(*axis.by).applyInPandas(run, schema))
+    return df.groupBy(*axis.by).applyInArrow(run, schema)
 
 
 def rolling_beta(y: pd.Series, x: pd.Series, n: int, min_count: int) -> pd.Series:
@@ -45,7 +52,7 @@ def rolling_beta(y: pd.Series, x: pd.Series, n: int, min_count: int) -> pd.Serie
 
 def beta_step(ret: str, factors: dict[str, str], n: int = 252, min_count: int = 63) -> Step:
     """Rolling sensitivities of ``ret``; ``factors`` maps output to factor column."""
-    return tuple(factors), lambda pdf: {
+    return tuple(factors), (ret, *factors.values()), lambda pdf: {
         out: rolling_beta(pdf[ret], pdf[f], n, min_count) for out, f in factors.items()
     }
 

@@ -58,8 +58,7 @@ def recursive_step(price: str) -> Step:
         signal = ema(line, 9)
         move = p.diff()
         up, down = wilder(move.clip(lower=0.0), 14), wilder((-move).clip(lower=0.0), 14)
-        prev = cl.shift(1)
-        reach = pd.concat([hi - lo, (hi - prev).abs(), (lo - prev).abs()], axis=1).max(axis=1)
+        prev, reach = cl.shift(1), true_range(hi, lo, cl)
         rise, fall = hi.diff(), -lo.diff()
         plus = rise.where((rise > fall) & (rise > 0), 0.0).mask(rise.isna())
         minus = fall.where((fall > rise) & (fall > 0), 0.0).mask(fall.isna())
@@ -78,7 +77,22 @@ def recursive_step(price: str) -> Step:
             "adx_14": wilder((di_up - di_down).abs() / both.where(both != 0) * 100.0, 14),
         }
 
-    return RECURSIVE, smooth
+    return RECURSIVE, (price, "hi", "lo", "cl"), smooth
+
+
+def atr_step() -> Step:
+    """ATR alone, from ``hi``, ``lo`` and ``cl``."""
+
+    def smooth(pdf: pd.DataFrame) -> dict[str, pd.Series]:
+        hi, lo, cl = (pdf[c].astype("float64") for c in ("hi", "lo", "cl"))
+        return {"atr_14": wilder(true_range(hi, lo, cl), 14)}
+
+    return ("atr_14",), ("hi", "lo", "cl"), smooth
+
+
+def true_range(hi: pd.Series, lo: pd.Series, cl: pd.Series) -> pd.Series:
+    prev = cl.shift(1)
+    return pd.concat([hi - lo, (hi - prev).abs(), (lo - prev).abs()], axis=1).max(axis=1)
 
 
 def with_recursive(df: DataFrame, axis: Axis, price: str = "cl") -> DataFrame:

@@ -79,6 +79,8 @@ def feature_panel(
     # Everything below is ordered by date within the entity. The stage is heavy per row, so its partition count is
     # fixed: adaptive coalescing looks at bytes only and would leave most cores idle.
     base = base.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tk")
+    # The recursive pass comes before the windows, whose results it would only carry through.
+    base = grouped(base.withColumns(E.simple_returns(TK, "adj", (1,))), TK, [I.recursive_step("adj"), beta_step("return_1d", BETAS)])
     feats = E.add_price_features(I.windowed(base, TK, "adj"), TK, "adj")
     feats = E.targets(feats, TK, "adj", "log_return_1d", dates=narrow)
     feats = feats.withColumns(
@@ -92,7 +94,6 @@ def feature_panel(
             "fx_x_revenue_growth": F.col("ret_fx") * F.col("revenue_yoy_growth"),
         }
     )
-    feats = grouped(feats, TK, [I.recursive_step("adj"), beta_step("return_1d", BETAS)])
     feats = feats.withColumn("adx14_available", E.present("adx_14"))
     feats = feats.select("tk", "d", "sector", *[floor_round(c, 6).alias(c) for c in VALUES], *FLAGS)
     feats = staged(feats, "features")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelforge.functions.numeric import floor_round
+from panelforge.functions.recursive import grouped
 from panelforge.functions.staging import published, staged
 from panelforge.functions.windows import Axis
 from panelforge.operators import features as E
+from panelforge.operators import indicators as I
 from panelforge.operators import signals as SG
 from panelforge.operators import sizing as Z
 from panelforge.plans.oracle_views import r, view
@@ -226,7 +228,8 @@ view(
 
 def with_price(spark, sf, df):
     """Attach price and ATR share to signal rows."""
-    rec = recursive(spark, sf).select("tk", "d", F.col("adj").alias("price"), Z.atr_pct("atr_14", "adj").alias("atr_pct"))
+    rec = grouped(adj(spark, sf).select("tk", "d", "hi", "lo", "cl", "adj"), TK, [I.atr_step()])
+    rec = rec.select("tk", "d", F.col("adj").alias("price"), Z.atr_pct("atr_14", "adj").alias("atr_pct"))
     return df.join(rec, ["tk", "d"])
 
 
