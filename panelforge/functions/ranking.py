@@ -83,11 +83,18 @@ def rank_many(
     Works on a narrow long form, so the cost is one set of shuffles whatever the number of ranks, and the wide
     panel itself is shuffled once for the final join on its keys.
     """
+    kinds = dict(df.dtypes)
+    slots = list(dict.fromkeys(c for _, _, by, _ in specs for c in by))
+
+    def group(by: Sequence[str]) -> Column:
+        """Native group key: a slot for every group column in use, NULL where a rank does not group by it."""
+        return F.struct(*[(F.col(c) if c in by else F.lit(None).cast(kinds[c])).alias(c) for c in slots])
+
     items = F.array(
         *[
             F.struct(
                 F.lit(out).alias("_name"),
-                F.to_json(F.struct(*by)).alias("_grp"),
+                group(by).alias("_grp"),
                 F.col(value).cast("double").alias("_v"),
             )
             for out, value, by, _ in specs
