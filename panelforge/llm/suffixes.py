@@ -296,7 +296,7 @@ def decide_hot(held: DataFrame, length: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     """row, spans: byte ranges (start, stop) covered by repeated strings, not united yet; ``docs`` has the row mark and the text."""
     found = staged(runs(docs, length), "runs")
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    often = staged(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")  # a plain side, so that the join can be split
     shared = staged(found.join(often, "gram", "left_semi"), "shared")
     one = F.min(F.struct(ROW, "first", "last", "anchor")).alias("one")
     groups = staged(shared.groupBy("gram", "bytes").agg(F.count("*").alias("n"), one), "groups")
