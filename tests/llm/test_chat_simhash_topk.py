@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -57,7 +58,15 @@ def plain_fingerprint(text, k):
     return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
 
 
-def plain_components(ids, fps, radius):
+def plain_probe(text):
+    words = {w.encode().lower() for w in re.split("[\\x20\\x09-\\x0d]+", text or "") if w}
+    if not words:
+        return 0
+    h = [xxhash.xxh64(w, 42).intdigest() for w in words]
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+
+def plain_components(ids, fps, radius, also=None, bound=64):
     root = list(range(len(ids)))
 
     def find(i):
@@ -68,7 +77,7 @@ def plain_components(ids, fps, radius):
 
     for i in range(len(ids)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= radius:
+            if bin(fps[i] ^ fps[j]).count("1") <= radius and (also is None or bin(also[i] ^ also[j]).count("1") <= bound):
                 root[find(i)] = find(j)
     low = {}
     for i, d in enumerate(ids):
@@ -108,7 +117,7 @@ def test_links_keep_components_with_and_without_split(spark, split):
             fps.add(f)
     fps = sorted(fps)
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 2, split)
+    found = simhash.links(spark.createDataFrame([(f, 0) for f in signed], "fp long, also long"), 2, split).selectExpr("fp AS a", "fp_b AS b")
     pairs = [(r.a, r.b) for r in found.collect()]
     assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in pairs)
     root = {r.node: r.root for r in components(found).collect()}
