@@ -228,9 +228,12 @@ def date_overlap(a: DataFrame, b: DataFrame, nav: DataFrame) -> DataFrame:
     return both.agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("n_both")).withColumn("n_duplicates", twice)
 
 
-def wide(df: DataFrame, names: Sequence[str], value: str) -> DataFrame:
-    """One column per declared ticker, one row per date."""
-    return df.groupBy("d").pivot("tk", list(names)).agg(F.first(value))
+def wide(df: DataFrame, value: str, limit: int = 2000) -> DataFrame:
+    """One column per ticker in the data, one row per date; more tickers than ``limit`` are an error, use the long form then."""
+    names = [x.tk for x in df.select("tk").distinct().orderBy("tk").limit(limit + 1).collect()]
+    if len(names) > limit:
+        raise ValueError(f"more than {limit} tickers")
+    return df.groupBy("d").pivot("tk", names).agg(F.first(value))
 
 
 def rebalance_summary(picks: DataFrame) -> DataFrame:

@@ -285,9 +285,8 @@ def dq_return_summary(spark, sf):
     ("dret",),
 )
 def out_pivot(spark, sf):
-    names = [f"Brand#{i}" for i in range(1, 26)]
-    w = BT.wide(returns(spark, sf).withColumn("ret", floor_round("ret")), names, "ret")
-    return w.select("d", *[F.col(f"`{n}`").alias(f"b{i}") for i, n in enumerate(names, 1)])
+    w = BT.wide(returns(spark, sf).withColumn("ret", floor_round("ret")), "ret")
+    return w.select("d", *[F.col(f"`{n}`").alias(n.replace("Brand#", "b")) for n in w.columns if n != "d"])
 
 
 @query(
