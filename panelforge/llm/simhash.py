@@ -85,17 +85,18 @@ def _parts(mask: int, n: int) -> list[int]:
 
 def tree(fps: np.ndarray, also: np.ndarray, radius: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (as indices) of a search forest over distinct fingerprints: each is compared with those not reached yet."""
-    a, b, left, todo = [], [], np.arange(len(fps)), []
+    a, b, left, todo, x, y = [], [], np.arange(len(fps)), [], fps, also  # x and y: of those left
     while len(left):
         if not todo:
-            todo, left = [left[0]], left[1:]
+            todo, left, x, y = [left[0]], left[1:], x[1:], y[1:]
         source = todo.pop()
-        near = np.bitwise_count(fps[left] ^ fps[source]) <= radius
+        near = np.flatnonzero(np.bitwise_count(x ^ fps[source]) <= radius)
         if bound < 64:
-            near &= np.bitwise_count(also[left] ^ also[source]) <= bound
-        if near.any():
-            new = left[near]
-            left = left[~near]
+            near = near[np.bitwise_count(y[near] ^ also[source]) <= bound]
+        if len(near):
+            new, rest = left[near], np.ones(len(left), bool)
+            rest[near] = False
+            left, x, y = left[rest], x[rest], y[rest]
             todo.extend(new)
             a.append(np.full(len(new), source))
             b.append(new)
