@@ -8,8 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Name of the column that tells rows apart; deterministic for a stored table, which every caller reads.
+from panelforge.functions.staging import staged
+
+#: Name of the column that tells rows apart.
 ROW = "__row"
+_FILE_ROWS = 40
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,8 +24,26 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def _stored(docs: DataFrame) -> bool:
+    """Whether every row of ``docs`` is one row of a Parquet file, by its plan."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and "parquet" in node.simpleString(1 << 20) and "_metadata" not in docs.columns
+
+
 def with_row(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """``docs`` with a row mark that is the same in every later scan, however the files are split then.
+
+    For rows of Parquet files it is the place of the file and of the row in it; all else is written with its marks first. Callers that join
+    by the mark use the one table returned.
+    """
+    if not _stored(docs):
+        return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "marked")
+    path = F.col("_metadata.file_path")
+    files = sorted(r[0] for r in docs.select(path.alias("path")).distinct().collect())
+    place = F.array_position(F.array(*map(F.lit, files)), path) - 1 if len(files) > 1 else F.lit(0).cast("long")
+    return docs.withColumn(ROW, F.shiftleft(place, _FILE_ROWS) + F.col("_metadata.row_index"))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

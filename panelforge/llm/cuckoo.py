@@ -171,7 +171,11 @@ def duplicates(docs: DataFrame, withdrawn: DataFrame | None = None) -> DataFrame
 
     ``withdrawn`` (column text) lists texts to take off the index again: their rows are not kept and have no keep_id.
     """
-    marked = with_row(docs.select("doc_id", "text")).select("doc_id", ROW, F.unhex(F.sha2(whole().cast("binary"), 256)).alias("digest"))
+    return _duplicates(with_row(docs.select("doc_id", "text")), withdrawn)
+
+
+def _duplicates(docs: DataFrame, withdrawn: DataFrame | None = None) -> DataFrame:
+    marked = docs.select("doc_id", ROW, F.unhex(F.sha2(whole().cast("binary"), 256)).alias("digest"))
     rows = staged(marked, "digests")
     live = rows.select("*", F.lit(1).cast("long").alias("size"), F.lit(False).alias("gone"))
     if withdrawn is not None:
@@ -186,5 +190,6 @@ def duplicates(docs: DataFrame, withdrawn: DataFrame | None = None) -> DataFrame
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = duplicates(docs).where("NOT kept").select(ROW)
-    return with_row(docs).join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = with_row(docs)
+    gone = _duplicates(marked).where("NOT kept").select(ROW)
+    return marked.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

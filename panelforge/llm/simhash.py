@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int, probe: bool = False) -> DataFrame:
             probes = [fingerprint(t, 1, True) for t in texts] if probe else [0] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(ROW), pa.array(fps, pa.int64()), pa.array(probes, pa.int64())], names=["doc_id", ROW, "fp", "probe"])
 
-    rows = with_row(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), ROW, whole().alias("text"))
+    rows = (docs if ROW in docs.columns else with_row(docs.select("doc_id", "text"))).select(F.col("doc_id").cast("long"), ROW, whole().alias("text"))
     return rows.mapInArrow(run, f"doc_id long, `{ROW}` long, fp long, probe long")
 
 
@@ -190,8 +190,9 @@ def with_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 def representatives(docs: DataFrame, words: int, radius: int, probe_radius: int | None = None) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, with all their columns."""
-    rows = near_duplicates(docs, words, radius, probe_radius)
+    marked = with_row(docs)
+    rows = near_duplicates(marked, words, radius, probe_radius)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
     kept = rows.groupBy("root").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
     gone = rows.select(ROW).join(kept, ROW, "left_anti")
-    return with_row(docs).join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
