@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat, cuckoo, langid, packing, pieces, quality, simhash, suffixes, topk, viterbi
+from panelforge.llm import chat, cuckoo, langid, merkle, merkle_sql, packing, pieces, quality, simhash, suffixes, topk, viterbi
 from panelforge.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -66,6 +66,11 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(table(spark, folder, "documents"), tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_suffixes": op2_suffixes,
@@ -77,9 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_topk": op10_topk,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE: dict[str, str] = {
+    "op13_merkle": merkle_sql.manifest_sql(),
     "op4_chat": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
