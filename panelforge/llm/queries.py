@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat, cuckoo, langid, merkle, merkle_sql, packing, pieces, quality, simhash, suffixes, topk, viterbi
+from panelforge.llm import chat, cuckoo, langid, merkle, merkle_sql, negatives, packing, pieces, quality, simhash, suffixes, topk, viterbi
 from panelforge.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -66,6 +66,11 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     return merkle.manifest(table(spark, folder, "documents"), tampered)
@@ -82,10 +87,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_topk": op10_topk,
+    "op12_negatives": op12_negatives,
     "op13_merkle": op13_merkle,
 }
 
 ORACLE: dict[str, str] = {
+    "op12_negatives": """
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND NOT coalesce(list_bool_or([x IS NULL OR NOT isfinite(x) FOR x IN embedding]), false)
+        ),
+        s AS MATERIALIZED (
+            SELECT a.r AS a, c.r AS c, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                CAST(coalesce(list_sum([a.e[i] * c.e[i] FOR i IN range(1, least(len(a.e), len(c.e)) + 1)]), 0) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 50 = 0
+        ),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, c) <= 5),
+        n AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.c ORDER BY s.score DESC, s.vec_id, s.c) AS k,
+                s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+            FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+        )
+        SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3
+    """,
     "op13_merkle": merkle_sql.manifest_sql(),
     "op4_chat": r"""
         WITH c AS (
