@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat, cuckoo, langid, merkle, merkle_sql, negatives, packing, pieces, quality, simhash, suffixes, topk, viterbi
+from panelforge.llm import chat, cuckoo, langid, merkle, merkle_sql, negatives, packing, pieces, quality, simhash, suffixes, topk, toxicity, viterbi
 from panelforge.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -66,6 +66,12 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The model is fitted when the query is called; scoring runs with the result."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label)
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_topk": op10_topk,
+    "op11_toxicity": op11_toxicity,
     "op12_negatives": op12_negatives,
     "op13_merkle": op13_merkle,
 }
