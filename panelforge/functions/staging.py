@@ -4,14 +4,16 @@ The table lies in the shared folder named by ``spark.checkpoint.dir``; where tha
 session's warehouse folder, which a cluster shares too. It survives lost executors, cuts the lineage, and keeps column
 pruning and size statistics, which a row-format checkpoint does not. Steps of a daily run are written once per state of their
 input folder: a changed, added or removed input file makes them run again.
-Files are left to the folder's own retention rule.
+Files are left to the folder's own retention rule, except those of a step that says which of its tables its result still
+needs (``releasing``). The shuffle files of a stage go as soon as its table is written.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +29,49 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the job inside are removed at its end, since nothing reads them again."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once and read it back. Inside ``releasing`` the table goes at the end, unless ``keep``."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    with _own_shuffles(spark):
+        df.write.parquet(path)
+    if _open and not keep:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+@contextlib.contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside are removed at the end. What a result reads later has to be staged with ``keep``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
+
+
 def input_state(spark: SparkSession, folder: str) -> tuple:
     """Names, lengths and times of all files below a folder, as one row of sums (no content is read)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

@@ -141,3 +141,17 @@ def test_scalars(spark):
     assert row.a is None and row.b == pytest.approx(2.0001) and row.c == pytest.approx(1.959963985, abs=1e-7)
     bad = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.0,)], "x double")
     assert [r.x for r in nullify_nan(bad).collect()] == [None, None, 1.0]
+
+
+def test_released_stage_tables(spark):
+    import os
+
+    from panelforge.functions import staging
+
+    with staging.releasing(spark):
+        inner = staging.staged(spark.range(10), "inner")
+        kept = staging.staged(inner.groupBy((inner.id % 3).alias("k")).count(), "kept", keep=True)
+        paths = [df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0] for df in (inner, kept)]
+        assert all(map(os.path.isdir, paths))
+    assert not os.path.exists(paths[0]) and kept.count() == 3
+    assert spark.conf.get(staging._CLEANUP) == "false"
