@@ -1,6 +1,7 @@
 """Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-Every stage works on all rows its predecessor kept and returns the columns of ``documents``; the last returns token windows.
+Every stage works on all rows its predecessor kept and returns the columns of ``documents``; the last returns token windows. A stage runs its inner steps
+when it is called, and removes their tables again before it returns, but for those its result reads.
 """
 
 from __future__ import annotations
@@ -15,16 +16,15 @@ from panelforge.llm.queries import pack_tokens
 
 #: Near-duplicates: shingles of five words, similarity of 0.8 (``nearcopies.SHARE``).
 WORDS = 5
-#: Bits of the fingerprint rule that this stage had before; only ``tests/llm/test_pipeline.py`` still reads them.
-RADIUS, PROBE = 12, 6
-#: Shortest repeated byte string that is cut: less than fifty words.
-REPEAT = 240
+#: A repeated passage goes if it holds more than fifty words; shortest repeated byte string that is looked at: 51 words of two letters or less with their spaces.
+PASSAGE_WORDS = 50
+REPEAT = 128
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that could be told: those without text or without a letter go."""
+    """Documents in a language that could be told: those without a letter go, and those the classifier finds in no learned language."""
     return langid.accepted(docs, langid.fit(docs))
 
 
@@ -34,13 +34,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
+    """Of each group of near copies (found by SimHash tables and completed by prefixes), the document with the smallest id stays."""
     return nearcopies.representatives(docs, WORDS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur elsewhere too; n_chars follows. Characters cut in half go as a whole."""
-    return suffixes.shortened(docs, REPEAT)
+    """Texts without the passages of over fifty words that occur elsewhere too; n_chars follows. Characters cut in half go as a whole."""
+    return suffixes.shortened(docs, REPEAT, PASSAGE_WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

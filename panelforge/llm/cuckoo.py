@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.staging import staged
-from panelforge.llm.common import ROW, whole, with_row
+from panelforge.functions.staging import releasing, staged
+from panelforge.llm.common import ROW, hash_parts, row_apart, whole, with_row
 
 SLOTS = 4
 MAX_MOVES = 200
 FLUSH = 200_000
+PER_TASK = 200_000
 
 
 class Entry:
@@ -163,7 +164,7 @@ def _out(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
 def index_of(rows: DataFrame) -> DataFrame:
     """One row per live digest of ``rows`` (digest, doc_id, row, size, gone): the row that stays and the group's size."""
     local = rows.select("digest", F.col("doc_id").cast("long"), ROW, "size", "gone").mapInArrow(_fold(FLUSH, False), SCHEMA)
-    return local.repartition("digest").mapInArrow(_fold(None, True), SCHEMA)
+    return local.repartition(hash_parts(rows, rows.count(), PER_TASK), "digest").mapInArrow(_fold(None, True), SCHEMA)
 
 
 def duplicates(docs: DataFrame, withdrawn: DataFrame | None = None) -> DataFrame:
@@ -188,8 +189,10 @@ def _duplicates(docs: DataFrame, withdrawn: DataFrame | None = None) -> DataFram
     )
 
 
+@row_apart
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     marked = with_row(docs)
-    gone = _duplicates(marked).where("NOT kept").select(ROW)
+    with releasing(docs.sparkSession):
+        gone = staged(_duplicates(marked).where("NOT kept").select(ROW), "gone", keep=True)
     return marked.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

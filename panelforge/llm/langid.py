@@ -6,8 +6,9 @@ language (one against the rest) is fitted in it. Presence of n-grams is kept in
 all landmarks is a matrix product of presence rows; folding landmarks and regression into one matrix scores a
 batch of whole texts in one product.
 
-Learning uses a bounded sample: of each of the ``MAX_LANGUAGES`` most frequent languages, the ``PER_LANGUAGE`` rows of the
-learning fold with the smallest hash. Scoring reads every whole text where it lies; only the matrix travels.
+Learning uses a bounded sample: of each language the ``PER_LANGUAGE`` rows of the learning fold with the smallest hash among those of up to ``LONG`` bytes; a language
+whose texts are all longer is learned from its ``FEW`` shortest ones. Presence rows are kept sparse. Scoring reads every whole text
+where it lies; only the matrix travels.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned; ties go to
 the language that sorts first; repeated rows are scored alike; an empty table gives an empty table.
@@ -24,12 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.llm.common import slices, whole
+from panelforge.llm.common import free_name, slices, whole
 
 SLOTS = 1 << 15
 GRAMS = (2, 3, 4)
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 200
+LONG = 65_536
+FEW = 4
+MOST_LANGUAGES = 1000
+FLOOR_GRAMS, FLOOR_BELOW = 150, 0.15
 LANDMARKS = 240
 RIDGE = 0.05
 SHARPNESS = 6.0
@@ -60,6 +64,7 @@ class Model:
     languages: tuple[str, ...]
     weights: np.ndarray  # slots x languages
     bias: np.ndarray
+    floor: float = -np.inf  # best value below which a text of FLOOR_GRAMS different n-grams is in no learned language
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -75,64 +80,97 @@ def presence(texts: list[str], out: np.ndarray) -> np.ndarray:
     return rows
 
 
-def learn(texts: list[str], langs: list[str]) -> Model:
-    names = tuple(sorted(set(langs)))
-    x = presence(texts, np.zeros((len(texts), SLOTS), np.float32))
-    x /= np.sqrt(x.sum(axis=1, keepdims=True))
-    y = np.array([names.index(v) for v in langs])
+def _machine(rows: list[np.ndarray], y: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights per slot and bias of the regressions, from the slots present in every text."""
+    size = np.sqrt([len(r) for r in rows])
     turn = np.argsort([(y[:i] == y[i]).sum() for i in range(len(y))], kind="stable")  # first of each language, second of each, ...
-    marks = x[turn[:LANDMARKS]]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    chosen = turn[: max(LANDMARKS, languages)]
+    marks = np.zeros((SLOTS, len(chosen)), np.float32)
+    for j, i in enumerate(chosen):
+        marks[rows[i], j] = 1 / size[i]
+    kernel = np.stack([marks[r].sum(axis=0, dtype=np.float64) / n for r, n in zip(rows, size)])
+    values, vectors = np.linalg.eigh(kernel[chosen])
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-    phi = (x @ marks.T) @ root
-    target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
-    weight = 1.0 / np.bincount(y)[y]
+    phi = kernel @ root
+    target = np.where(y[:, None] == np.arange(languages), 1.0, -1.0)
+    weight = 1.0 / np.bincount(y, minlength=languages)[y]
     weight /= weight.mean()
     mean_x, mean_y = np.average(phi, axis=0, weights=weight), np.average(target, axis=0, weights=weight)
     centred = phi - mean_x
     gram = (centred * weight[:, None]).T @ centred + RIDGE * np.eye(phi.shape[1])
     beta = np.linalg.solve(gram, (centred * weight[:, None]).T @ (target - mean_y))
-    return Model(names, (marks.T @ (root @ beta)).astype(np.float32), mean_y - mean_x @ beta)
+    return (marks @ (root @ beta)).astype(np.float32), mean_y - mean_x @ beta
+
+
+def learn(texts: list[str], langs: list[str]) -> Model:
+    names = tuple(sorted(set(langs)))
+    rows = [np.unique(slots(t)).astype(np.uint16) for t in texts]  # slots present: SLOTS is 2^15
+    y = np.array([names.index(v) for v in langs])
+    floor, other = -np.inf, np.arange(1, len(rows), 2)  # the floor is told by every second text, from a machine of the others
+    if len(other):
+        weights, bias = _machine(rows[::2], y[::2], len(names))
+        own = np.stack([weights[rows[i]].sum(axis=0) / len(rows[i]) ** 0.5 + bias for i in other])
+        right = own.max(axis=1)[(own.argmax(axis=1) == y[other]) & (np.array([len(rows[i]) for i in other]) >= FLOOR_GRAMS)]
+        floor = float(right.min() - FLOOR_BELOW) if len(right) else floor
+    return Model(names, *_machine(rows, y, len(names)), floor)
 
 
 def fit(docs: DataFrame) -> Model | None:
     """Learn from text and non-null lang outside the held-out fold."""
-    rows = docs.select("doc_id", whole().alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    ids = rows.where(F.col("lang").isin(common)).select("lang", "doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("mark"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
-    ids = ids.where(f"size <= {_BLOCK // 16}").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE)
-    chosen = ids.select("lang", "doc_id", "mark")  # MAX_LANGUAGES * PER_LANGUAGE rows at most
-    found = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "doc_id", "mark"])
-    sample = found.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(PER_LANGUAGE * max(len(common), 1)).select("text", "lang").collect()
-    return learn([r.text for r in sample], [r.lang for r in sample]) if sample else None
-
-
-def tagged(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of ``docs`` with the predicted language and its score."""
+    short = F.octet_length("text") <= LONG
+    counts = rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count("*").alias("n")).orderBy("lang").collect()
+    if not counts:
+        return None
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{len(counts)} languages; the model is made for {MOST_LANGUAGES} at most")
+    # a hash bound leaves about twice the rows wanted, so that the ranks below see a bounded number of rows
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32))
+    near, far = F.lit(False), []
+    for r in counts:
+        if r.short:
+            near |= (F.col("lang") == r.lang) & short & (mark < int((1 << 32) * min(1.0, 2 * PER_LANGUAGE / r.short + 1e-9)))
+        else:
+            far.append(r.lang)
+    order = Window.partitionBy("lang").orderBy(mark, "doc_id")
+    sample = rows.where(near).withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).select("text", "lang", mark.alias("mark"), "doc_id")
+    found = sample.orderBy("mark", "doc_id").select("text", "lang").collect()
+    for lang in far:  # whole texts, one language at a time
+        found += rows.where(F.col("lang") == lang).orderBy(F.octet_length("text"), mark, "doc_id").select("text", "lang").limit(FEW).collect()
+    return learn([r.text for r in found], [r.lang for r in found])
+
+
+def tagged(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score", told: str | None = None) -> DataFrame:
+    """All columns of ``docs`` with the predicted language, its score and, with ``told``, whether the text is in a learned language at all. The names have to be free."""
     lettered = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return docs.withColumns({lang: F.lit(UND), score: F.lit(0.0)})
-    rows = docs.select("*", F.when(lettered, F.col("text").cast("string")).alias("__read"))
+        found = docs.withColumns({lang: F.lit(UND), score: F.lit(0.0)})
+        return found.withColumn(told, lettered) if told else found
+    read = free_name(docs, "read")
+    rows = docs.select("*", F.when(lettered, F.col("text").cast("string")).alias(read))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((ROWS, SLOTS), np.float32)
-        for piece in slices(batches, "__read"):
+        for piece in slices(batches, read):
             for start in range(0, piece.num_rows, ROWS):
                 batch = piece.slice(start, ROWS)
-                texts = batch.column("__read").to_pylist()
+                texts = batch.column(read).to_pylist()
                 x = presence([t or "" for t in texts], held)
-                f = (x @ model.weights) / np.sqrt(x.sum(axis=1, keepdims=True)) + model.bias
+                grams = x.sum(axis=1)
+                f = (x @ model.weights) / np.sqrt(grams)[:, None] + model.bias
                 p = np.exp(SHARPNESS * (f - f.max(axis=1, keepdims=True)))
                 p /= p.sum(axis=1, keepdims=True)
                 best = p.argmax(axis=1)
-                told = [model.languages[b] if t is not None else UND for t, b in zip(texts, best)]
-                top = [float(p[i, b]) if t is not None else 0.0 for i, (t, b) in enumerate(zip(texts, best))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.string()), pa.array(top, pa.float64())], names=[*batch.schema.names[:-1], lang, score])
+                some = np.array([t is not None for t in texts], bool)
+                known = some & ((f.max(axis=1) >= model.floor) | (grams < FLOOR_GRAMS))
+                names = [model.languages[b] if s else UND for s, b in zip(some, best)]
+                top = np.where(some, p[np.arange(len(p)), best], 0.0)
+                cols = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(top, pa.float64()), *([pa.array(known)] if told else [])]
+                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], lang, score, *([told] if told else [])])
 
     kinds = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
-    return rows.mapInArrow(run, f"{kinds}, `{lang}` string, `{score}` double")
+    return rows.mapInArrow(run, f"{kinds}, `{lang}` string, `{score}` double" + (f", `{told}` boolean" if told else ""))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -142,7 +180,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows whose language could be told, with all their columns; where nothing could be learned, those with a letter."""
-    if model is None:
-        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
-    return tagged(docs, model, "__lang", "__score").where(F.col("__lang") != UND).drop("__lang", "__score")
+    """The rows in a language that could be told, with all their columns.
+
+    A text without a letter goes, and one of ``FLOOR_GRAMS`` different n-grams or more whose best value lies ``FLOOR_BELOW`` under the lowest of the learning texts
+    that a machine of the other half told rightly. Where nothing could be learned, texts with a letter stay.
+    """
+    lang, score, told = (free_name(docs, n) for n in ("lang_pred", "score", "told"))
+    return tagged(docs, model, lang, score, told).where(F.col(told)).select(*[F.col(f"`{c}`") for c in docs.columns])

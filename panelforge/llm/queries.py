@@ -1,4 +1,7 @@
-"""Registered queries of the operators, over whole tables and whole texts, and their SQL where SQL can express them."""
+"""Registered queries of the operators, over whole tables and whole texts, and their SQL where SQL can express them.
+
+Operators that fit a model or write stage tables run those jobs when the query function is called; the rows come with the returned plan.
+"""
 
 from __future__ import annotations
 
@@ -138,18 +141,17 @@ ORACLE: dict[str, str] = {
         FROM t GROUP BY conv_id
     """,
     "op10_topk": """
-        WITH v AS (
-            SELECT vec_id, min([CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding]) AS e FROM embeddings
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT coalesce(list_bool_or([x IS NULL OR NOT isfinite(x) FOR x IN embedding]), false)
-            GROUP BY vec_id
         ),
         s AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
+            SELECT q.r AS q, q.vec_id AS query_id, c.r AS c, c.vec_id,
                 CAST(coalesce(list_sum([q.e[i] * c.e[i] FOR i IN range(1, least(len(q.e), len(c.e)) + 1)]), 0) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+            FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0
         ),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
-        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+        n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, c) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM n WHERE n <= 5
     """,
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),

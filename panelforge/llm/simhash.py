@@ -50,18 +50,16 @@ def fingerprint(text: bytes, words: int, distinct: bool = False) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int, probe: bool = False) -> DataFrame:
-    """doc_id, row mark, fingerprint and, with ``probe``, the fingerprint of the distinct words (else zero) of every document."""
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, row mark and fingerprint of every document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
-            fps = [fingerprint(t, words) for t in texts]
-            probes = [fingerprint(t, 1, True) for t in texts] if probe else [0] * len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(ROW), pa.array(fps, pa.int64()), pa.array(probes, pa.int64())], names=["doc_id", ROW, "fp", "probe"])
+            fps = [fingerprint(t.encode(), words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(ROW), pa.array(fps, pa.int64())], names=["doc_id", ROW, "fp"])
 
     rows = (docs if ROW in docs.columns else with_row(docs.select("doc_id", "text"))).select(F.col("doc_id").cast("long"), ROW, whole().alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, `{ROW}` long, fp long, probe long")
+    return rows.mapInArrow(run, f"doc_id long, `{ROW}` long, fp long")
 
 
 @functools.lru_cache(maxsize=8)
@@ -83,102 +81,86 @@ def _parts(mask: int, n: int) -> list[int]:
     return [sum(1 << i for i in free[p::n]) for p in range(n)]
 
 
-def tree(fps: np.ndarray, also: np.ndarray, radius: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+def tree(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (as indices) of a search forest over distinct fingerprints: each is compared with those not reached yet."""
-    a, b, left, todo, x, y = [], [], np.arange(len(fps)), [], fps, also  # x and y: of those left
+    a, b, left, todo, x = [], [], np.arange(len(fps)), [], fps  # x: of those left
     while len(left):
         if not todo:
-            todo, left, x, y = [left[0]], left[1:], x[1:], y[1:]
+            todo, left, x = [left[0]], left[1:], x[1:]
         source = todo.pop()
-        near = np.flatnonzero(np.bitwise_count(x ^ fps[source]) <= radius)
-        if bound < 64:
-            near = near[np.bitwise_count(y[near] ^ also[source]) <= bound]
-        if len(near):
-            new, rest = left[near], np.ones(len(left), bool)
-            rest[near] = False
-            left, x, y = left[rest], x[rest], y[rest]
+        near = np.bitwise_count(x ^ fps[source]) <= radius
+        if near.any():
+            new = left[near]
+            left, x = left[~near], x[~near]
             todo.extend(new)
             a.append(np.full(len(new), source))
             b.append(new)
     return (np.concatenate(a), np.concatenate(b)) if a else (left, left)
 
 
-CELLS = "tab int, key long, fp long, also long, fp_b long, also_b long"
+CELLS = "tab int, key long, fp long, fp_b long"
 
 
 def _cells(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in CELLS.split(", ")])
 
 
-def _bucket_links(radius: int, bound: int, split: int | None):
-    """Rows (table, key, fp, also), each bucket whole in one task -> links (table -1, two nodes), and rows of large buckets unchanged."""
+def _bucket_links(radius: int, split: int | None):
+    """Rows (table, key, fp), each bucket whole in one task -> links (table -1, two nodes), and rows of large buckets unchanged."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [batch for batch in batches if batch.num_rows]
         if not held:
             return
-        tab, key, fp, also = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
+        tab, key, fp = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
         del held
         order = np.lexsort((key, tab))
-        tab, key, fp, also = tab[order], key[order], fp[order], also[order]
+        tab, key, fp = tab[order], key[order], fp[order]
         starts = np.flatnonzero(np.r_[True, (tab[1:] != tab[:-1]) | (key[1:] != key[:-1])])
         sizes = np.diff(np.r_[starts, len(fp)])
         two = starts[sizes == 2]
         near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius
-        near &= np.bitwise_count((also[two] ^ also[two + 1]).view(np.uint64)) <= bound
         a, b = [two[near]], [two[near] + 1]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
             if split and n > split:
                 part = slice(s, s + n)
-                yield _cells(tab[part], key[part], fp[part], also[part], fp[part], also[part])
+                yield _cells(tab[part], key[part], fp[part], fp[part])
                 continue
-            x, y = tree(fp[s : s + n].view(np.uint64), also[s : s + n].view(np.uint64), radius, bound)
+            x, y = tree(fp[s : s + n].view(np.uint64), radius)
             a.append(x + s)
             b.append(y + s)
         a, b = np.concatenate(a), np.concatenate(b)
-        yield _cells(np.full(len(a), -1, np.int32), np.zeros(len(a), np.int64), fp[a], also[a], fp[b], also[b])
+        yield _cells(np.full(len(a), -1, np.int32), np.zeros(len(a), np.int64), fp[a], fp[b])
 
     return run
 
 
-def links(distinct: DataFrame, radius: int, split: int = SPLIT, bound: int = 64) -> DataFrame:
-    """Links (fp, also, fp_b, also_b) that connect exactly the nodes (columns fp and also, all different) within the radius of
-    each other in fp and within ``bound`` bits in also."""
+def links(distinct: DataFrame, radius: int, split: int = SPLIT) -> DataFrame:
+    """Links (fp, fp_b) that connect exactly the fingerprints (column fp, all different) within the radius of each other."""
     masks = covering_masks(radius)
     n = distinct.count() * len(masks)
     cells = F.explode(F.array(*[F.struct(F.lit(v).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks)]))
-    dealt = distinct.select(cells.alias("cell"), "fp", "also").select("cell.tab", "cell.key", "fp", "also")
+    dealt = distinct.select(cells.alias("cell"), "fp").select("cell.tab", "cell.key", "fp")
     parts = hash_parts(distinct, n, PER_TASK)
-    first = staged(dealt.repartition(parts, "tab", "key").mapInArrow(_bucket_links(radius, bound, split), CELLS), "buckets")
+    first = staged(dealt.repartition(parts, "tab", "key").mapInArrow(_bucket_links(radius, split), CELLS), "buckets")
     finer = [F.struct(F.lit(v).alias("tab"), F.lit(_signed(m | p)).alias("mask")) for v, m in enumerate(masks) for p in _parts(m, radius + 1)]
     large = first.where("tab >= 0").join(distinct.sparkSession.range(1).select(F.explode(F.array(*finer)).alias("x")).select("x.tab", "x.mask"), "tab")
     cell = F.pmod(F.xxhash64("tab", "mask"), F.lit((1 << 31) - 1)).cast("int")
-    again = large.select(cell.alias("tab"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "also")
-    second = again.repartition(parts, "tab", "key").mapInArrow(_bucket_links(radius, bound, None), CELLS)
-    return first.where("tab < 0").unionByName(second.where("tab < 0")).select("fp", "also", "fp_b", "also_b")
+    again = large.select(cell.alias("tab"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    second = again.repartition(parts, "tab", "key").mapInArrow(_bucket_links(radius, None), CELLS)
+    return first.where("tab < 0").unionByName(second.where("tab < 0")).select("fp", "fp_b")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, probe_radius: int | None = None) -> DataFrame:
-    """Per document: doc_id, row mark, fp, and the root of its component.
-
-    Fingerprints link within ``radius`` bits. A radius too wide for covering masks needs ``probe_radius``: then the covered
-    fingerprint is that of the distinct words, and documents link that are near in both.
-    """
-    rows = staged(fingerprints(docs, words, probe_radius is not None), "fingerprints")
-    if probe_radius is None:
-        distinct = staged(rows.select("fp", F.lit(0).cast("long").alias("also")).distinct(), "distinct")
-        pairs = links(distinct, radius).select(F.col("fp").alias("a"), F.col("fp_b").alias("b"))
-        node = F.col("fp")
-    else:
-        distinct = staged(rows.select(F.col("probe").alias("fp"), F.col("fp").alias("also")).distinct(), "distinct")
-        pairs = links(distinct, probe_radius, bound=radius).select(F.xxhash64("fp", "also").alias("a"), F.xxhash64("fp_b", "also_b").alias("b"))
-        node = F.xxhash64("probe", "fp")
-    found = components(pairs)
-    return rows.withColumn("node", node).join(found, "node", "left").select("doc_id", ROW, "fp", F.coalesce("root", "node").alias("root"))
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """Per document: doc_id, row mark, fp, and the root of its component; fingerprints link within ``radius`` bits."""
+    rows = staged(fingerprints(docs, words), "fingerprints")
+    distinct = staged(rows.select("fp").distinct(), "distinct")
+    found = components(links(distinct, radius).select(F.col("fp").alias("a"), F.col("fp_b").alias("b")))
+    return rows.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", ROW, "fp", F.coalesce("root", "fp").alias("root"))
 
 
 def with_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -186,13 +168,3 @@ def with_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     rows = near_duplicates(docs, words, radius)
     lowest = staged(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "lowest")  # a plain side, so that the join can be split
     return rows.join(lowest, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, words: int, radius: int, probe_radius: int | None = None) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, with all their columns."""
-    marked = with_row(docs)
-    rows = near_duplicates(marked, words, radius, probe_radius)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
-    kept = rows.groupBy("root").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
-    gone = rows.select(ROW).join(kept, ROW, "left_anti")
-    return marked.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

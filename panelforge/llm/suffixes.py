@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.staging import staged
-from panelforge.llm.common import ROW, hash_parts, slices, whole, with_row
+from panelforge.functions.staging import releasing, staged
+from panelforge.llm.common import ROW, hash_parts, row_apart, slices, whole, with_row
 
 LENGTH = 400
 GRAM = 64
@@ -315,7 +315,11 @@ def repeats(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     return windows.select(ROW, ranges.alias("ranges")).groupBy(ROW).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cutter(words: int):
+    return lambda batches: _cut(batches, words)
+
+
+def _cut(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     for batch in batches:
         if not batch.num_rows:
@@ -329,6 +333,8 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spans[-1]["stop"] = max(spans[-1]["stop"], stop)
                 else:
                     spans.append({"start": start, "stop": stop})
+            if words:
+                spans = [s for s in spans if len(data[s["start"] : s["stop"]].split()) > words]
             for s in spans:
                 out.append(data[at : s["start"]])
                 at = s["stop"]
@@ -341,26 +347,29 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), *cols], names=["doc", "n_bytes", "removed", "kept", "left"])
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, words: int = 0) -> DataFrame:
     """For every row of ``docs``: ``doc`` (its columns but the text), n_bytes, the spans removed (start, stop), the bytes kept, and
-    ``left``, the text of those without characters cut in half, or null if nothing was removed."""
+    ``left``, the text of those without characters cut in half, or null if nothing was removed. Spans of ``words`` words or fewer stay."""
     if length % DEPTH or length < 2 * GRAM:
         raise ValueError(f"length must be a multiple of {DEPTH}, {2 * GRAM} at least")
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     texts = with_row(docs).select(ROW, F.struct(*others).alias("doc"), whole().alias("text"))
-    marked = texts.join(repeats(texts.select(ROW, "text"), length, hot), ROW, "left").select("doc", "text", "ranges")
+    with releasing(docs.sparkSession):
+        spans = staged(repeats(texts.select(ROW, "text"), length, hot), "spans", keep=True)
+    marked = texts.join(spans, ROW, "left").select("doc", "text", "ranges")
     kind = dict(texts.dtypes)["doc"]
-    return marked.mapInArrow(_cut, f"doc {kind}, n_bytes long, removed array<struct<start:int,stop:int>>, kept binary, left string")
+    return marked.mapInArrow(_cutter(words), f"doc {kind}, n_bytes long, removed array<struct<start:int,stop:int>>, kept binary, left string")
 
 
-def shortened(docs: DataFrame, length: int) -> DataFrame:
+@row_apart
+def shortened(docs: DataFrame, length: int, words: int = 0) -> DataFrame:
     """The rows of ``docs`` with the text that is left; n_chars, if there, follows. A text without repeats stays as it is."""
     named = {c: F.col(f"doc.`{c}`") for c in docs.columns if c != "text"}
     if "n_chars" in named:
         named["n_chars"] = F.when(F.size("removed") > 0, F.length("left")).otherwise(named["n_chars"]).cast(docs.schema["n_chars"].dataType)
     nothing = F.when(F.col("n_bytes") > 0, F.col("kept").cast("string"))
     text = F.when(F.size("removed") > 0, F.col("left")).otherwise(nothing)
-    return without_repeats(docs, length).select(*[(text if c == "text" else named[c]).alias(c) for c in docs.columns])
+    return without_repeats(docs, length, words=words).select(*[(text if c == "text" else named[c]).alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:

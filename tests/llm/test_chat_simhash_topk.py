@@ -58,15 +58,7 @@ def plain_fingerprint(text, k):
     return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
 
 
-def plain_probe(text):
-    words = {w.encode().lower() for w in re.split("[\\x20\\x09-\\x0d]+", text or "") if w}
-    if not words:
-        return 0
-    h = [xxhash.xxh64(w, 42).intdigest() for w in words]
-    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
-
-
-def plain_components(ids, fps, radius, also=None, bound=64):
+def plain_components(ids, fps, radius):
     root = list(range(len(ids)))
 
     def find(i):
@@ -77,7 +69,7 @@ def plain_components(ids, fps, radius, also=None, bound=64):
 
     for i in range(len(ids)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= radius and (also is None or bin(also[i] ^ also[j]).count("1") <= bound):
+            if bin(fps[i] ^ fps[j]).count("1") <= radius:
                 root[find(i)] = find(j)
     low = {}
     for i, d in enumerate(ids):
@@ -94,11 +86,9 @@ def test_simhash_components(spark):
     want = plain_components([r.doc_id for r in rows], fps, 2)
     got = simhash.with_components(docs).collect()
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((r.doc_id, f"{f:016x}", c) for r, f, c in zip(rows, fps, want))
-    kept = simhash.representatives(docs, 3, 2)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want)) and kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("radius", [1, 2, 3, 6])
+@pytest.mark.parametrize("radius", [1, 2, 3])
 def test_masks_cover(radius):
     masks, rng = simhash.covering_masks(radius), random.Random(radius)
     assert len(masks) == 2 ** (radius + 1) - 1 and min(bin(m).count("1") for m in masks) >= 24
@@ -117,7 +107,7 @@ def test_links_keep_components_with_and_without_split(spark, split):
             fps.add(f)
     fps = sorted(fps)
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    found = simhash.links(spark.createDataFrame([(f, 0) for f in signed], "fp long, also long"), 2, split).selectExpr("fp AS a", "fp_b AS b")
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 2, split).selectExpr("fp AS a", "fp_b AS b")
     pairs = [(r.a, r.b) for r in found.collect()]
     assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in pairs)
     root = {r.node: r.root for r in components(found).collect()}
@@ -133,7 +123,7 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_simhash_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.with_components(docs).count() == 0 and simhash.representatives(docs, 5, 4).count() == 0
+    assert simhash.with_components(docs).count() == 0
 
 
 def test_top_k_against_brute_force(spark):
@@ -141,15 +131,14 @@ def test_top_k_against_brute_force(spark):
     vecs = [(i, [float(x) for x in np.round(rng.normal(size=int(rng.integers(1, 6))), 1)]) for i in range(400)]
     vecs += [(500, None), (501, [1.0, None]), (502, [float("nan")]), (503, [float("inf")]), (550, []), (600, [0.0]), (None, [1.0]), (0, [9.0])] + vecs[:20]
     df = spark.createDataFrame([(*v, 1) for v in vecs], "vec_id long, embedding array<float>, rank int")
-    usable = {}
+    usable = []
     for i, v in vecs:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-            usable[i] = min(usable.get(i, q), q)
+            usable.append((i, [int(np.floor(256 * float(np.float32(x)))) for x in v]))
     want = []
-    for i, q in usable.items():
+    for at, (i, q) in enumerate(usable):
         if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in usable.items() if j != i)[:5]
+            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for k, (j, c) in enumerate(usable) if k != at)[:5]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     query = lambda: topk.top_k(df, topk.F.col("vec_id") % 50 == 0)
     assert sorted(map(tuple, query().collect())) == sorted(want)
@@ -160,6 +149,9 @@ def test_top_k_against_brute_force(spark):
     finally:
         topk.QUERIES, topk.CANDIDATES = old
     few = topk.top_k(df.where("vec_id in (50, 51, 0)"), topk.F.col("vec_id") % 50 == 0)
-    assert few.count() == 4 and topk.top_k(df.limit(0), topk.F.col("vec_id") % 50 == 0).count() == 0
+    assert few.count() == sum(min(5, df.where("vec_id in (50, 51, 0)").count() - 1) for _ in range(df.where("vec_id in (50, 0)").count()))
+    assert topk.top_k(df.limit(0), topk.F.col("vec_id") % 50 == 0).count() == 0
+    repeated = spark.createDataFrame([(0, [1.0]), (1, [5.0]), (1, [1.0]), (2, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(repeated, topk.F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 327680), (0, 2, 2, 131072), (0, 3, 1, 65536)]
     big = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in topk.top_k(big, topk.F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63 - 1))]

@@ -38,6 +38,15 @@ def test_language_ignores_held_out_labels_and_other_columns(spark, docs):
     assert a == b
 
 
+def test_language_decides_what_is_accepted(spark, docs):
+    rng = random.Random(8)
+    made = [" ".join(f"{rng.randrange(1 << 32):08x}" for _ in range(60)), "日本語の文章です。今日は天気がいいですね。" * 8, "12 34", None, "the"]
+    model = langid.fit(docs)
+    odd = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert [r.doc_id for r in langid.accepted(odd, model).collect()] == [4]
+    assert langid.accepted(docs, model).count() >= docs.count() - 2
+
+
 def test_language_edges(spark, docs):
     rows = [(1, None), (2, ""), (3, "123 !?"), (4, "x"), (None, "the"), (6, "É" * 3_000_000), (6, "é")]
     df = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string")
@@ -54,6 +63,57 @@ def test_kernel_against_sets():
     assert (x @ x.T).tolist() == [[len(a & b) for b in grams] for a in grams]
 
 
+def test_kernel_regression_against_plain_one():
+    """Map, regression and folding into one matrix give what the kernel matrix over all landmarks gives."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(w) for _ in range(12)) for w in (["the", "and", "of"], ["der", "und", "von"], ["los", "y", "de"]) for _ in range(9)]
+    langs = [x for x in ("en", "de", "es") for _ in range(9)][:26]
+    texts = texts[:26]
+    model = langid.learn(texts, langs)
+    sets = [set(langid.slots(t).tolist()) for t in texts + ["the los und", "zzz"]]
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets[:26]] for a in sets])
+    y = np.where(np.array(langs)[:, None] == np.array(model.languages), 1.0, -1.0)
+    weight = np.array([1 / langs.count(v) for v in langs])
+    weight /= weight.mean()
+    # minimise sum of weight * (k a + b - y)^2 + RIDGE * a' k a
+    x = np.c_[k[:26], np.ones(26)]
+    ridge = np.zeros((27, 27))
+    ridge[:26, :26] = langid.RIDGE * k[:26]
+    a = np.linalg.lstsq((x * weight[:, None]).T @ x + ridge, (x * weight[:, None]).T @ y, rcond=None)[0]
+    want = np.c_[k, np.ones(28)] @ a
+    p = langid.presence(texts + ["the los und", "zzz"], np.zeros((28, langid.SLOTS), np.float32))
+    assert p @ model.weights / np.sqrt(p.sum(axis=1, keepdims=True)) + model.bias == pytest.approx(want, abs=1e-3)
+
+
+def test_language_of_long_texts_only(spark):
+    rows = [(i, "the and of with " * 3 + str(i), "en") for i in range(40)] + [(100 + i, "zorg blu kmin " * 6000 + str(i), "xx") for i in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ("en", "xx")
+
+
+def test_quality_sizes_and_curve_against_plain_ones(spark):
+    """Sizes and scores of a model, recomputed text by text."""
+    import math
+
+    import zstandard
+
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit(spark.read.parquet(f"{MID}/documents.parquet"), labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert model.weights and len(got) == len(texts)
+    for doc_id, text in texts.items():
+        if not text:
+            assert got[doc_id] == pytest.approx(model.base)
+            continue
+        data, sizes = text.encode(), []
+        for dictionary in (model.good, model.bad):
+            coder = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(len(coder.compress(data)))
+        line = model.weights[0] + model.weights[1] * 10 * (sizes[1] - sizes[0]) / len(data) + model.weights[2] * math.log(min(sizes) / len(data) + 0.01)
+        assert got[doc_id] == pytest.approx(1 / (1 + math.exp(-max(min(line, 30), -30))), abs=1e-12)
+
+
 def test_quality(spark, docs):
     got = {r.doc_id: r for r in queries.op8_quality(spark, MID).collect()}
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{MID}/labels.parquet").collect()}
