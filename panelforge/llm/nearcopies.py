@@ -37,8 +37,8 @@ from panelforge.llm.components import components
 SHARE = (4, 5)
 #: Bits in which linked fingerprints may differ.
 RADIUS = 2
-PER_TASK = 1_500_000  # shingles
-SLICE = 8 << 20
+PER_TASK = 400_000  # shingles
+SLICE = 4 << 20
 LOCAL = 8
 SMALL = 8
 BLOCK = 2048
