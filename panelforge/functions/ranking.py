@@ -1,15 +1,15 @@
 """Exact ranks and order statistics without one task per group.
 
-A group (one date, one sector, or the whole table) may hold any share of the rows, so no rank here sorts a
-group in one window. Instead:
+A group (one date, one sector, or the whole table) may hold any share of the rows and any values, so no rank here sorts a group in one window:
 
 1. rows collapse to (group, value, count) with map-side combine: a value shared by a third of all rows is one row;
-2. counts are summed per (group, bucket), a bucket being one thousandth of the value axis, and prefix-summed
-   over the buckets of the group (a small table: one row per occupied bucket);
-3. positions inside a bucket come from a window partitioned by (group, bucket), which for values rounded to
-   six decimals holds at most one thousand rows.
+2. values take an order-preserving 54-bit form (sign and binary logarithm), whose leading 18 bits are counted per group; a cell of more than ``CELL`` different
+   values is counted by the next 18 bits, and where that is still more, by all. Counts are summed over the cells of one level below one
+   parent, a bounded number whatever the data, so the rows below a cell are known;
+3. positions inside a cell come from a window over the cell: ``CELL`` values at most, or the 1,600 doubles that share all bits of the form.
 
-The rank table is then joined back on (group, value); adaptive execution splits that join where it is skewed.
+Neither the spread of the values nor their closeness matters, and every step deals rows by (group, cell). The rank table is then joined back on
+(group, value); adaptive execution splits that join where it is skewed.
 """
 
 from __future__ import annotations
@@ -21,33 +21,48 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.numeric import floor_round
 
-BUCKET_WIDTH = 1e-3
+#: Different values up to which a cell is ordered in one window.
+CELL = 4096
+DIGIT, DIGITS = 18, 3
 
 
-def position_table(df: DataFrame, by: Sequence[str], value: str, width: float = BUCKET_WIDTH) -> DataFrame:
+def sort_key(value: Column) -> Column:
+    """An integer of 54 bits and a sign that never falls while the double rises; doubles within one part in 6e12 may share it."""
+    x = value.cast("double")
+    size = F.least(F.log2(F.abs(x)), F.lit(1024.0)) + 1075.0  # from 1 for the smallest number on
+    key = (size * float(1 << 42)).cast("long")
+    return F.when(x == 0, F.lit(0).cast("long")).when(x < 0, -key).otherwise(key)
+
+
+def _level(rows: DataFrame, by: Sequence[str], parent: str | None, name: str, base: Column) -> DataFrame:
+    """Cells ``name`` of one level: rows before each in its group (``_base``), and whether it has to be split."""
+    held = [*by, parent] if parent else list(by)
+    cells = rows.groupBy(*held, name).agg(F.sum("_n").alias("_m"), F.count("*").alias("_kinds"), F.first(base).alias("_from"))
+    earlier = Window.partitionBy(*held).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    split = F.col("_kinds") > CELL
+    before = F.col("_from") + F.coalesce(F.sum("_m").over(earlier), F.lit(0))
+    cols = [*by, name, before.alias(f"_base{name}"), split.alias(f"_split{name}")]
+    if not parent:
+        cols.append(F.sum("_m").over(Window.partitionBy(*held)).alias("_total"))
+    return cells.select(*cols)
+
+
+def position_table(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Distinct non-null values of each group with ``_n`` (copies), ``_before`` (rows below) and ``_total``."""
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", F.floor(F.col("_x") / F.lit(width)))
-    )
-    heads = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_m"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(
-        *by,
-        "_bucket",
-        F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_base"),
-        F.sum("_m").over(Window.partitionBy(*by)).alias("_total"),
-    )
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.join(heads, [*by, "_bucket"]).select(
-        *by,
-        "_x",
-        "_n",
-        (F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_before"),
-        "_total",
-    )
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumns({f"_p{i + 1}": F.shiftright(sort_key(F.col("_x")), (DIGITS - 1 - i) * DIGIT) for i in range(DIGITS)})
+    first = _level(counts, by, None, "_p1", F.lit(0))
+    one = counts.join(first, [*by, "_p1"])
+    second = _level(one.where("_split_p1"), by, "_p1", "_p2", F.col("_base_p1"))
+    two = one.join(second, [*by, "_p2"], "left")
+    third = _level(two.where("_split_p2"), by, "_p2", "_p3", F.col("_base_p2"))
+    three = two.join(third.drop("_split_p3"), [*by, "_p3"], "left")
+    level = F.when(F.col("_base_p3").isNotNull(), 3).when(F.col("_base_p2").isNotNull(), 2).otherwise(1)
+    cell = F.coalesce(F.when(level == 3, F.col("_p3")), F.when(level == 2, F.col("_p2")), F.col("_p1"))
+    located = three.select(*by, "_x", "_n", "_total", level.alias("_level"), cell.alias("_cell"), F.coalesce("_base_p3", "_base_p2", "_base_p1").alias("_base"))
+    inside = Window.partitionBy(*by, "_level", "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    return located.select(*by, "_x", "_n", before.alias("_before"), "_total")
 
 
 def average_rank() -> Column:
@@ -62,10 +77,9 @@ def rank_pct(
     out: str,
     min_count: int = 1,
     digits: int | None = 6,
-    width: float = BUCKET_WIDTH,
 ) -> DataFrame:
     """Percentile rank (mean rank of ties over non-null count); NULL below ``min_count`` values."""
-    ranks = position_table(df, by, value, width)
+    ranks = position_table(df, by, value)
     pct = average_rank() / F.col("_total")
     pct = F.when(F.col("_total") >= min_count, pct if digits is None else floor_round(pct, digits))
     ranks = ranks.select(*by, F.col("_x").alias(value), pct.alias(out))
@@ -122,10 +136,9 @@ def order_statistics(
     by: Sequence[str],
     value: str,
     positions: dict[str, Column],
-    width: float = BUCKET_WIDTH,
 ) -> DataFrame:
     """Exact order statistics: ``positions`` maps an output name to a zero-based row number in terms of ``_total``."""
-    table = position_table(df, by, value, width)
+    table = position_table(df, by, value)
     picks = [
         F.max(
             F.when((F.col("_before") <= p) & (p < F.col("_before") + F.col("_n")), F.col("_x"))
@@ -140,7 +153,6 @@ def quantiles(
     by: Sequence[str],
     value: str,
     probs: dict[str, float],
-    width: float = BUCKET_WIDTH,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, plus ``n_values``."""
     positions: dict[str, Column] = {}
@@ -148,7 +160,7 @@ def quantiles(
         h = F.lit(p) * (F.col("_total") - 1)
         positions[f"_lo_{out}"] = F.floor(h)
         positions[f"_hi_{out}"] = F.ceil(h)
-    stats = order_statistics(df, by, value, positions, width)
+    stats = order_statistics(df, by, value, positions)
     cols = []
     for out, p in probs.items():
         h = F.lit(p) * (F.col("n_values") - 1)

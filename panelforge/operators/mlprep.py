@@ -62,12 +62,12 @@ def fill_both_ways(df: DataFrame, fills: dict[str, float], axis: Axis = TK) -> D
     return df.withColumns({c: F.coalesce(axis.ffill(c), axis.bfill(c), F.lit(v)) for c, v in fills.items()})
 
 
-def winsorize(df: DataFrame, c: str, limit: float = 0.01, width: float = 1e-3) -> DataFrame:
+def winsorize(df: DataFrame, c: str, limit: float = 0.01) -> DataFrame:
     """Clip at the order statistics that cut ``limit`` of the rows on each side; NULLs count as the median, stay NULL."""
-    med = quantiles(df, [], c, {"m": 0.5}, width).select("m").scalar()
+    med = quantiles(df, [], c, {"m": 0.5}).select("m").scalar()
     filled = df.select(F.coalesce(F.col(c), med).alias("x"))
     k = F.floor(F.lit(limit) * F.col("_total"))
-    stats = order_statistics(filled, [], "x", {"lo": k, "hi": F.col("_total") - 1 - k}, width)
+    stats = order_statistics(filled, [], "x", {"lo": k, "hi": F.col("_total") - 1 - k})
     b = stats.select(F.struct("lo", "hi")).scalar()
     out = df.withColumn("_b", b)
     x = F.col(c)

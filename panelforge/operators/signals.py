@@ -78,7 +78,7 @@ def final_signal(df: DataFrame, buy: float = BUY_AT, sell: float = SELL_AT) -> D
 
 def fill_vol(df: DataFrame, c: str = "vol") -> DataFrame:
     """Missing volatility takes the exact global median."""
-    med = quantiles(df, [], c, {"m": 0.5}, width=1e-4).select("m").scalar()
+    med = quantiles(df, [], c, {"m": 0.5}).select("m").scalar()
     return df.withColumn(c, F.coalesce(F.col(c), med))
 
 

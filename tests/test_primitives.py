@@ -155,3 +155,49 @@ def test_released_stage_tables(spark):
         assert all(map(os.path.isdir, paths))
     assert not os.path.exists(paths[0]) and kept.count() == 3
     assert spark.conf.get(staging._CLEANUP) == "false"
+
+
+def _odd_values():
+    rng = np.random.default_rng(5)
+    close = 1.0 + rng.random(30_000) * 1e-12  # differ in the last bits only
+    wide = np.ldexp(rng.random(5_000) - 0.5, rng.integers(-1060, 1000, 5_000))
+    edge = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, -(2.0**-1022), 2.0**-1023, 1.0, np.nextafter(1, 0), np.nextafter(1, 2), 8.0, np.nextafter(8, 0), -8.0, 1.7976931348623157e308, float("inf"), float("-inf")]
+    return np.concatenate([close, -close[:9_000], wide, rng.random(20_000) * 1e9, np.repeat([3.25], 50_000), edge])
+
+
+def test_sort_key_keeps_the_order_of_doubles(spark):
+    from panelforge.functions.ranking import sort_key
+
+    x = np.unique(_odd_values())
+    got = to_spark(spark, pd.DataFrame({"i": range(len(x)), "x": x}), "i long, x double").select("i", sort_key(F.col("x")).alias("k")).orderBy("i").toPandas()["k"].to_numpy()
+    assert (np.diff(got) >= 0).all() and np.unique(got, return_counts=True)[1].max() <= 1600
+
+
+def test_ranks_of_close_and_wide_values_without_a_large_task(spark):
+    from panelforge.functions.ranking import position_table
+
+    x = _odd_values()
+    pdf = pd.DataFrame({"g": np.where(np.arange(len(x)) % 3 == 0, "a", "b"), "x": x})
+    df = to_spark(spark, pdf, "g string, x double").repartition(8).cache()
+    for by in ([], ["g"]):
+        got = position_table(df, by, "x").toPandas()
+        parts = [("", pdf)] if not by else list(pdf.groupby("g"))
+        for g, part in parts:
+            mine = got if not by else got[got.g == g]
+            values, counts = np.unique(part.x.to_numpy(), return_counts=True)
+            mine = mine.sort_values("_x")
+            assert (mine._x.to_numpy() == values).all() and (mine._n.to_numpy() == counts).all()
+            assert (mine._before.to_numpy() == np.r_[0, np.cumsum(counts)[:-1]]).all() and (mine._total == len(part)).all()
+
+
+def test_cells_are_bounded(spark, monkeypatch):
+    """No window of the rank table sees more than a cell, whatever the values."""
+    from panelforge.functions import ranking
+
+    monkeypatch.setattr(ranking, "CELL", 256)
+    df = spark.range(60_000).select((1 + F.col("id") * 1e-13).alias("x"))
+    plan = ranking.position_table(df, [], "x")
+    got = plan.groupBy(F.col("_before")).count()
+    assert got.count() == 60_000 and plan.agg(F.max("_before")).first()[0] == 59_999
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "_level" in text and "_cell" in text
