@@ -26,6 +26,13 @@ def feature_columns(df: DataFrame, excluded: Sequence[str]) -> list[str]:
     return found
 
 
+def feature_summary(df: DataFrame, excluded: Sequence[str]) -> DataFrame:
+    """Per selected feature column: name, n (values), lowest and highest, in one pass over the table."""
+    names = feature_columns(df, excluded)
+    cols = [F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.min(c).cast("double").alias("lowest"), F.max(c).cast("double").alias("highest")) for c in names]
+    return df.agg(F.array(*cols).alias("f")).select(F.explode("f").alias("f")).select("f.*")
+
+
 def holdout_split(df: DataFrame, target: str, holdout: Column, tiers: Sequence[int] = (1, 2)) -> DataFrame:
     """Rows of the given tiers with a target, marked train before the holdout date and holdout from it on."""
     rows = df.where(F.col("tier").isin(*tiers) & F.col(target).isNotNull())

@@ -334,11 +334,15 @@ def ml_score_panel(spark, sf):
     return ML.score_panel(base(spark, sf), FEATURES, model).select("tk", "d", floor_round("score").alias("score"))
 
 
-@query("ml_feature_columns", "SELECT unnest(['return_21d', 'volatility_20d', 'mom_12_1', 'pred', 'vol_ok']) AS name", ())
+@query(
+    "ml_feature_columns",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS name, count({c}) AS n, CAST(min({c}) AS DOUBLE) AS lowest, CAST(max({c}) AS DOUBLE) AS highest FROM mlb" for c in ("return_21d", "volatility_20d", "mom_12_1", "pred", "vol_ok")
+    ),
+    ("mlb",),
+)
 def ml_feature_columns(spark, sf):
-    b = base(spark, sf)
-    names = ML.feature_columns(b, ["tier", "target", "gap"])
-    return b.limit(0).groupBy().agg(F.array(*[F.lit(n) for n in names]).alias("n")).select(F.explode("n").alias("name"))
+    return ML.feature_summary(base(spark, sf), ["tier", "target", "gap"])
 
 
 @query(

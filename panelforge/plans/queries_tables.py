@@ -12,6 +12,7 @@ from panelforge.functions.staging import stage_path
 from panelforge.functions.windows import Axis
 from panelforge.operators import features as E
 from panelforge.operators import tables as TB
+from panelforge.operators.versioned import VersionedTable, by_month
 from panelforge.plans.oracle_views import r, view
 from panelforge.plans.queries_features import pc
 from panelforge.plans.queries_quality import tiers
@@ -221,6 +222,29 @@ def merge_upsert(spark, sf):
     return TB.upsert(old, new, ["tk", "d"], ["vol"])
 
 
+@query(
+    "merge_upsert_partitions",
+    "SELECT tk, d, CASE WHEN d < DATE '2000-07-01' THEN cl END AS cl, CASE WHEN d < DATE '2000-01-01' THEN vol ELSE vol+1 END AS vol FROM bars",
+    ("bars",),
+)
+def merge_upsert_partitions(spark, sf):
+    """The same through a table in months: only months from 2000 on are rewritten."""
+    old, new = _halves(spark, sf)
+    table = VersionedTable(spark, stage_path(spark, "bars_by_month"), by_month("d")).create(old)
+    table.merge(new, lambda rows, more: TB.upsert(rows, more, ["tk", "d"], ["vol"]))
+    return table.read()
+
+
+@query("merge_fill_null_partitions", "SELECT d, coalesce(ix50, ix500) AS ix50, ix500 FROM macro", ("macro",))
+def merge_fill_null_partitions(spark, sf):
+    """The same through a table in months: only months with a null are rewritten."""
+    m = P.macro(spark, sf).select("d", "ix50", "ix500")
+    table = VersionedTable(spark, stage_path(spark, "macro_by_month"), by_month("d")).create(m)
+    holes = m.where("ix50 IS NULL").select("d", F.col("ix500").alias("ix50"))
+    table.merge(holes, lambda rows, more: TB.fill_null(rows, more, ["d"], ["ix50"]))
+    return table.read()
+
+
 @query("merge_fill_null", "SELECT d, coalesce(ix50, ix500) AS ix50, ix500 FROM macro", ("macro",))
 def merge_fill_null(spark, sf):
     m = P.macro(spark, sf)
