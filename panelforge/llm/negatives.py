@@ -7,11 +7,11 @@ integer score, widened for rounding. Only pairs whose interval overlaps the wind
 
 1. Positives: the window is open above and starts at the anchor's k-th best score known so far; rows of the anchor's label are taken in falling order of
    their upper bound, so the window narrows fast.
-2. Negatives: each positive asks for the scores from ``low`` to ``high`` percent of its own. The directions are used in ``STEPS`` parts: only pairs that overlap one of
-   the anchor's windows so far are looked at with the next part, and what is left in the end is scored.
+2. Negatives: each positive asks for the scores from ``low`` to ``high`` percent of its own. A row of another label is scored if its interval overlaps one of the
+   anchor's windows. Intervals of ``GROUP`` anchors with a block come from one matrix product over the directions.
 
 The directions are the principal ones of a bounded sample of rows; they decide how much the filter saves, not what is found. Vectors without a preferred
-direction (64 independent components) leave the filter little: with all parts 41 % of the negatives and 11 % of the positives had to be scored.
+direction (64 independent components) leave the filter little: 41 % of the negatives and 11 % of the positives had to be scored.
 
 Anchors meet candidates in blocks of fixed size, positives within blocks of a label; what leaves a task is k rows per anchor or positive,
 and the best of all blocks are chosen per anchor or positive.
@@ -35,7 +35,8 @@ from panelforge.functions.staging import staged
 from panelforge.llm.common import ROW, with_row
 
 SAMPLE = 1000  # rows that give the directions
-STEPS = (1 / 2, 3 / 4, 7 / 8)  # of the dimensions
+DIRECTIONS = 7 / 8  # of the dimensions
+GROUP = 32
 ANCHORS, CANDIDATES = 1024, 16_384
 STEP = 256  # candidates scored at a time while the window of positives narrows
 SLACK = 1e-6  # relative widening of a bound for rounding
@@ -58,7 +59,7 @@ def references(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
         return np.zeros((0, 0))
     x = matrix(found, width).astype(np.float64)
     x /= np.maximum(np.linalg.norm(x, axis=1), 1)[:, None]
-    return np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : max(1, int(width * STEPS[-1]))]
+    return np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : max(1, int(width * DIRECTIONS))]
 
 
 def matrix(comps: pd.Series, width: int) -> np.ndarray:
@@ -75,39 +76,50 @@ class Rows:
         self.mark, self.id, self.label = (frame[c].to_numpy() for c in (ROW, "vec_id", "label"))
         width = max(frame["comp"].map(len).max(), len(refs))
         self.x = matrix(frame["comp"], width)
-        x = self.x.astype(np.float64)
+        x = self.float = self.x.astype(np.float64)
         self.norm = np.linalg.norm(x, axis=1)
         self.cosine = (x[:, : len(refs)] @ refs) / np.where(self.norm > 0, self.norm, 1)[:, None]
-        self.parts = sorted({int(len(refs) * share) for share in STEPS} - {0})
-        self.sine = {r: np.sqrt(np.maximum(0, 1 - (self.cosine[:, :r] ** 2).sum(axis=1))) for r in self.parts}
+        self.sine = np.sqrt(np.maximum(0, 1 - (self.cosine**2).sum(axis=1)))
+        self.most = int(np.abs(self.x.astype(object)).max()) if self.x.size else 0
 
 
-def bounds(anchor: int, a: Rows, rows: Rows, at: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of an anchor's integer scores with some rows, by the first ``part`` directions."""
-    product = a.norm[anchor] * rows.norm[at]
-    middle, spread = rows.cosine[at, :part] @ a.cosine[anchor, :part], rows.sine[part][at] * a.sine[part][anchor]
+def bounds(some: slice, a: Rows, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the integer scores of some anchors (rows) with all rows (columns)."""
+    product = np.outer(a.norm[some], rows.norm)
+    middle, spread = a.cosine[some] @ rows.cosine.T, np.outer(a.sine[some], rows.sine)
     wide = product * SLACK + 1
     return np.floor(product * np.maximum(middle - spread, -1) - wide), np.ceil(product * np.minimum(middle + spread, 1) + wide)
 
 
-def overlapping(anchor: int, a: Rows, rows: Rows, at: np.ndarray, windows: list[tuple[int, int]]) -> np.ndarray:
-    """Those of the rows whose interval overlaps a window."""
-    windows = [(lo, hi) for lo, hi in windows if lo <= hi]
-    for part in rows.parts or [0]:
-        if not part or not len(at) or not windows:
-            return at if windows else at[:0]
-        least, most = bounds(anchor, a, rows, at, part)
-        at = at[np.any([(most >= lo) & (least <= hi) for lo, hi in windows], axis=0)]
-    return at
+def united(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The windows that are not empty, those that overlap in one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(w for w in windows if w[0] <= w[1]):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def overlapping(least: np.ndarray, most: np.ndarray, windows: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the intervals overlap a window."""
+    inside = np.zeros(len(least), bool)
+    for lo, hi in united(windows):
+        inside |= (most >= lo) & (least <= hi)
+    return inside
 
 
-def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Integer inner products of the rows of ``x`` with ``y``."""
-    if not len(x):
+def exact(rows: Rows, at: np.ndarray, a: Rows, anchor: int) -> np.ndarray:
+    """Integer inner products of some rows with an anchor; in floating point where every partial sum is an integer below 2^53."""
+    if not len(at):
         return np.zeros(0, np.int64)
-    n = min(x.shape[1], len(y))
-    x, y = x[:, :n], y[:n]
-    if int(np.abs(x.astype(object)).max(initial=0)) * int(np.abs(y.astype(object)).max(initial=0)) * max(len(y), 1) < 1 << 62:
+    n = min(rows.x.shape[1], a.x.shape[1])
+    limit = rows.most * a.most * max(n, 1)
+    if limit < 1 << 53:
+        return (rows.float[at, :n] @ a.float[anchor, :n]).astype(np.int64)
+    x, y = rows.x[at, :n], a.x[anchor, :n]
+    if limit < 1 << 62:
         return x @ y
     return np.clip((x.astype(object) * y.astype(object)).sum(axis=1), -_LIMIT, _LIMIT).astype(np.int64)
 
@@ -125,8 +137,9 @@ def _positives(refs: np.ndarray, k: int) -> Callable[[pd.DataFrame, pd.DataFrame
         if len(anchors) and len(candidates):
             a, c = Rows(anchors, refs), Rows(candidates, refs)
             for i in range(len(a.id)):
-                every = np.arange(len(c.id))
-                high = bounds(i, a, c, every, c.parts[-1])[1] if c.parts else np.full(len(every), np.inf)
+                if i % GROUP == 0:
+                    highs = bounds(slice(i, i + GROUP), a, c)[1]
+                high = highs[i % GROUP]
                 order = np.argsort(-high, kind="stable")
                 order = order[c.mark[order] != a.mark[i]]
                 score, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -136,7 +149,7 @@ def _positives(refs: np.ndarray, k: int) -> Callable[[pd.DataFrame, pd.DataFrame
                         now = now[high[now] >= score.min()]
                         if not len(now):
                             break
-                    score, at = np.r_[score, exact(c.x[now], a.x[i])], np.r_[at, now]
+                    score, at = np.r_[score, exact(c, now, a, i)], np.r_[at, now]
                     best = _best(score, c.id[at], k)
                     score, at = score[best], at[best]
                 found.append(pd.DataFrame({"anchor_row": a.mark[i], "anchor_id": a.id[i], "positive_id": c.id[at], "positive_row": c.mark[at], "positive_score": score}))
@@ -160,8 +173,10 @@ def _negatives(refs: np.ndarray, k: int, low: int, high: int) -> Callable[[pd.Da
             a, c = Rows(anchors, refs), Rows(candidates, refs)
             for i, wanted in enumerate(anchors["wanted"]):
                 windows = [(w["positive_row"], *window_percent(int(w["positive_score"]), low, high)) for w in wanted]
-                at = overlapping(i, a, c, np.flatnonzero(c.label != a.label[i]), [w[1:] for w in windows])
-                score = exact(c.x[at], a.x[i])
+                if i % GROUP == 0:
+                    lows, highs = bounds(slice(i, i + GROUP), a, c)
+                at = np.flatnonzero(overlapping(lows[i % GROUP], highs[i % GROUP], [w[1:] for w in windows]) & (c.label != a.label[i]))
+                score = exact(c, at, a, i)
                 for row, lo, hi in windows:
                     fits = np.flatnonzero((score >= lo) & (score <= hi))
                     best = fits[_best(score[fits], c.id[at[fits]], k)]

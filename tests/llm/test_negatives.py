@@ -64,14 +64,13 @@ def test_filter_saves_scores_and_keeps_bounds(spark):
     rows = [r for r in made(1, 400, 16) if r[0] is not None and r[0] < 400]
     frame = pd.DataFrame({negatives.ROW: range(len(rows)), "vec_id": [r[0] for r in rows], "label": [r[2] for r in rows], "comp": [[math.floor(256 * x) for x in r[1]] for r in rows]})
     found = negatives.Rows(frame, negatives.references(spark.createDataFrame(frame.astype({"comp": object}))))
-    every, scored = np.arange(len(rows)), 0
+    scored = 0
+    lows, highs = negatives.bounds(slice(0, None), found, found)
     for i in range(0, 400, 20):
         score = found.x @ found.x[i]
-        for part in found.parts:
-            low, high = negatives.bounds(i, found, found, every, part)
-            assert (low <= score).all() and (score <= high).all()
+        assert (lows[i] <= score).all() and (score <= highs[i]).all() and (negatives.exact(found, np.arange(len(rows)), found, i) == score).all()
         top = int(np.sort(score)[-6])
-        scored += len(negatives.overlapping(i, found, found, every, [negatives.window_percent(top, 50, 95)]))
+        scored += negatives.overlapping(lows[i], highs[i], [negatives.window_percent(top, 50, 95)]).sum()
     assert scored < 0.6 * 20 * len(rows)
 
 
