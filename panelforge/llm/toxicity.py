@@ -41,7 +41,7 @@ from panelforge.llm.common import slices, whole
 SPAN, DECAY = 7, 0.6
 LONG = 32
 MAX_DOCS = 4000
-UNITS = 60_000
+UNITS = 20_000
 LANDMARKS = 200
 MISFIT = 5000.0  # weight of all hinge losses of a class against the norm
 CLEAR = 0.3  # value from which a string counts in the document's sum
@@ -123,26 +123,32 @@ class Model:
     base: float
 
 
-def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Squared-hinge support vector machine; the last column of ``x`` is one and its weight is free."""
+def hinge(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Squared-hinge support vector machine over rows with a weight in either class; the last column of ``x`` is one and its weight is free."""
     free = np.r_[np.ones(x.shape[1] - 1), 1e-6]
 
-    def loss(v: np.ndarray) -> float:
-        return float((free * v * v).sum() + (weight * np.maximum(0, 1 - y * (x @ v)) ** 2).sum())
+    def loss(v: np.ndarray, f: np.ndarray) -> float:
+        return float((free * v * v).sum() + (toxic * np.maximum(0, 1 - f) ** 2 + clean * np.maximum(0, 1 + f) ** 2).sum())
 
-    w = np.zeros(x.shape[1])
-    now = loss(w)
+    w, f = np.zeros(x.shape[1]), np.zeros(len(x))
+    now = loss(w, f)
     for _ in range(100):
-        active = y * (x @ w) < 1
-        a = x[active] * weight[active, None]
-        step = np.linalg.solve(a.T @ x[active] + np.diag(free), a.T @ y[active]) - w
-        size, then = 1.0, loss(w + step)
+        up, down = np.where(f < 1, toxic, 0), np.where(f > -1, clean, 0)
+        h, g = np.diag(free), np.zeros(len(w))
+        for i in range(0, len(x), 2048):
+            part = x[i : i + 2048].astype(np.float64)
+            h += part.T @ (part * (up + down)[i : i + 2048, None])
+            g += part.T @ (up - down)[i : i + 2048]
+        step = np.linalg.solve(h, g) - w
+        along = x @ step
+        size = 1.0
+        then = loss(w + step, f + along)
         while then > now and size > 1e-4:
             size /= 2
-            then = loss(w + size * step)
+            then = loss(w + size * step, f + size * along)
         if now - then <= 1e-9 * now:
             break
-        w, now = w + size * step, then
+        w, f, now = w + size * step, f + size * along, then
     return w
 
 
@@ -151,13 +157,13 @@ def machine(found: list[str], toxic: np.ndarray, clean: np.ndarray) -> tuple[np.
     by_hash = sorted(range(len(found)), key=lambda i: xxhash.xxh64_intdigest(found[i].encode("utf-8", "surrogatepass")))
     top = np.argsort(clean - toxic, kind="stable")[: LANDMARKS // 2].tolist()
     others = [i for i in by_hash if i not in set(top)][: LANDMARKS - len(top)]
-    marks = np.zeros((len(top) + len(others), SYMBOLS**3))
+    marks = np.zeros((len(top) + len(others), SYMBOLS**3), np.float32)
     for row, i in zip(marks, top + others):
         at, share = subsequences([found[i]])
         np.add.at(row, at[0], share[0])
-    vals, vecs = np.linalg.eigh(marks @ marks.T)
-    root = vecs[:, vals > 1e-6] / np.sqrt(vals[vals > 1e-6])
-    table = np.ascontiguousarray((marks.T @ root).astype(np.float32))  # subsequence -> its part of the map
+    vals, vecs = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    root = vecs[:, vals > 1e-5] / np.sqrt(vals[vals > 1e-5])
+    table = np.ascontiguousarray(marks.T @ root.astype(np.float32))  # subsequence -> its part of the map
     x = np.ones((len(found), table.shape[1] + 1), np.float32)
     order = sorted(range(len(found)), key=lambda i: len(found[i]))
     for start in range(0, len(found), BATCH // 4):
@@ -165,9 +171,7 @@ def machine(found: list[str], toxic: np.ndarray, clean: np.ndarray) -> tuple[np.
         at, share = subsequences([found[i] for i in rows])
         used = share.max(axis=0) > 0
         x[rows, :-1] = np.einsum("nt,ntm->nm", share[:, used].astype(np.float32), table[at[:, used]])
-    both, y = np.concatenate([x, x]), np.r_[np.ones(len(found)), -np.ones(len(found))]
-    weight = np.r_[toxic, clean] * MISFIT
-    w = hinge(both[weight > 0].astype(np.float64), y[weight > 0], weight[weight > 0])
+    w = hinge(x, toxic * MISFIT, clean * MISFIT)
     return (table @ w[:-1]).astype(np.float32), float(w[-1])
 
 
