@@ -16,9 +16,9 @@ from panelforge.llm.queries import pack_tokens
 
 #: Near-duplicates: shingles of five words, similarity of 0.8 (``nearcopies.SHARE``).
 WORDS = 5
-#: A repeated passage goes if it holds more than fifty words; shortest repeated byte string that is looked at: 51 words of two letters or less with their spaces.
+#: A repeated passage goes if it holds more than fifty words; shortest repeated byte string that is looked at: 51 words of three letters with their spaces take 203.
 PASSAGE_WORDS = 50
-REPEAT = 128
+REPEAT = 200
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
