@@ -50,6 +50,7 @@ MARK = 28  # spaces and punctuation inside a string: skipped like any symbol, ne
 KNOWN = 400_000  # strings a task remembers
 BATCH = 256
 GAPS = tuple((a, b) for b in range(2, SPAN) for a in range(1, b))
+_WEIGHTS = np.array([DECAY ** (b - 2) for _, b in GAPS] + [0.0])
 _SENTENCE = re.compile(r"[.!?](?=\s)|\n")
 _ALPHA = np.arange(592)
 _TABLE = np.where((_ALPHA >= 97) & (_ALPHA <= 122), _ALPHA - 96, np.where((_ALPHA >= 48) & (_ALPHA <= 57), 27, np.where(_ALPHA < 128, MARK, 29 + _ALPHA % 3)))
@@ -85,16 +86,15 @@ def subsequences(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for row, w in zip(s, batch):
         code = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
         row[1 : len(w) + 1] = np.where(code < len(_TABLE), _TABLE[np.minimum(code, len(_TABLE) - 1)], 29 + code % 3)
-    at, weight = [], []
-    for a, b in GAPS:
+    keys = []  # number of the subsequence and, below it, of its gaps
+    for gap, (a, b) in enumerate(GAPS):
         n = width - b
         if n > 0:
-            at.append((s[:, :n] * SYMBOLS + s[:, a : n + a]) * SYMBOLS + s[:, b:])
-            marked = (s[:, :n] == MARK) | (s[:, a : n + a] == MARK) | (s[:, b:] == MARK)
-            weight.append(np.where((np.arange(n) < (size - b)[:, None]) & ~marked, DECAY ** (b - 2), 0.0))
-    at, weight = np.concatenate(at, axis=1), np.concatenate(weight, axis=1)
-    order = np.argsort(at, axis=1, kind="stable")  # equal subsequences become one
-    at, weight = np.take_along_axis(at, order, 1), np.take_along_axis(weight, order, 1)
+            key = ((s[:, :n] * SYMBOLS + s[:, a : n + a]) * SYMBOLS + s[:, b:]) * SYMBOLS
+            counts = (np.arange(n) < (size - b)[:, None]) & (s[:, :n] != MARK) & (s[:, a : n + a] != MARK) & (s[:, b:] != MARK)
+            keys.append(np.where(counts, key + gap, key + len(GAPS)))
+    key = np.sort(np.concatenate(keys, axis=1).astype(np.int32), axis=1)  # equal subsequences become one
+    at, weight = key >> 5, _WEIGHTS[key & 31]
     cell = np.cumsum(np.c_[np.zeros(len(at), bool), at[:, 1:] != at[:, :-1]], axis=1) + np.arange(len(at))[:, None] * at.shape[1]
     total = np.bincount(cell.ravel(), weight.ravel(), at.size).reshape(at.shape)
     first = np.zeros(at.size, np.int64)
