@@ -25,6 +25,7 @@ scored alike; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ from panelforge.llm.common import slices, whole
 SPAN, DECAY = 7, 0.6
 LONG = 32
 MAX_DOCS = 4000
-UNITS = 20_000
+UNITS = 60_000
 LANDMARKS = 200
 MISFIT = 5000.0  # weight of all hinge losses of a class against the norm
 CLEAR = 0.3  # value from which a string counts in the document's sum
@@ -217,10 +218,21 @@ def figures(docs: DataFrame, weights: np.ndarray, bias: float, keep: str) -> Dat
     return docs.mapInArrow(run, f"{keep}, top double, sum double, mean double")
 
 
-def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sentences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 1 << 20):
-        rows = {(y, xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) >> 1, u) for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()) for s in _SENTENCE.split(t) for u in set(strings(s))}
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((), (), ()), (pa.int32(), pa.int64(), pa.string()))], names=["y", "sentence", "unit"])
+        rows = {(y, s) for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()) for s in _SENTENCE.split(t) if s and not s.isspace()}
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((), ()), (pa.int32(), pa.string()))], names=["y", "sentence"])
+
+
+def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings of different sentences, and how many sentences of either class hold them."""
+    for batch in slices(batches, "sentence", 1 << 20):
+        counts = Counter(), Counter()
+        for y, s in zip(batch.column("y").to_pylist(), batch.column("sentence").to_pylist()):
+            counts[y].update(set(strings(s)))
+        found = list(counts[0].keys() | counts[1].keys())
+        cols = [pa.array(found, pa.string()), *(pa.array([counts[y][u] for u in found], pa.int64()) for y in (1, 0))]
+        yield pa.RecordBatch.from_arrays(cols, names=["unit", "toxic", "clean"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -241,9 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     ranks = Window.partitionBy("y", "part").orderBy(mark, "doc_id")
     chosen = known.where(near).withColumn("n", F.row_number().over(ranks)).where(F.col("n") <= MAX_DOCS).drop("n")
     sample = staged(docs.select("doc_id", whole().alias("text")).join(chosen, "doc_id").select("y", "part", "text"), "sample")
-    units = sample.where("NOT part").select("y", "text").mapInArrow(_units, "y int, sentence long, unit string").distinct()
-    weight = [F.count_if(F.col("y") == y).alias(name) for y, name in ((1, "toxic"), (0, "clean"))]
-    top = units.groupBy("unit").agg(*weight).orderBy(F.desc(F.greatest(F.col("toxic") * all_labels / max(ones, 1), F.col("clean"))), "unit").limit(UNITS).toArrow()
+    sentences = sample.where("NOT part").select("y", "text").mapInArrow(_sentences, "y int, sentence string").distinct()
+    units = sentences.mapInArrow(_units, "unit string, toxic long, clean long")
+    weigh = units.groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean")))
+    top = weigh.orderBy(F.desc(F.greatest(F.col("toxic") * all_labels / max(ones, 1), F.col("clean"))), "unit").limit(UNITS).toArrow()
     found, toxic, clean = top.column("unit").to_pylist(), *(top.column(c).to_numpy().astype(float) for c in ("toxic", "clean"))
     if not toxic.any() or not clean.any():
         return Model(None, 0.0, (), base)
