@@ -52,6 +52,7 @@ KNOWN = 400_000  # strings a task remembers
 BATCH = 256
 GAPS = tuple((a, b) for b in range(2, SPAN) for a in range(1, b))
 _WEIGHTS = np.array([DECAY ** (b - 2) for _, b in GAPS] + [0.0])
+_NONE = SYMBOLS**3  # in place of a symbol: no subsequence
 _SENTENCE = re.compile(r"[.!?](?=\s)|\n")
 _ALPHA = np.arange(592)
 _TABLE = np.where((_ALPHA >= 97) & (_ALPHA <= 122), _ALPHA - 96, np.where((_ALPHA >= 48) & (_ALPHA <= 57), 27, np.where(_ALPHA < 128, MARK, 29 + _ALPHA % 3)))
@@ -79,30 +80,44 @@ def strings(text: str) -> list[str]:
     return [p for w in found for p in ([w] if len(w) <= LONG else [w[i : i + LONG] for i in range(0, len(w) - step, step)])]
 
 
-def subsequences(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and weights of the subsequences of some strings between word ends, one row each; subsequences past the end weigh nothing."""
-    width = max(map(len, batch)) + 2
-    s = np.zeros((len(batch), width), np.int64)
-    size = np.array([len(w) + 2 for w in batch])
-    for row, w in zip(s, batch):
-        code = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
-        row[1 : len(w) + 1] = np.where(code < len(_TABLE), _TABLE[np.minimum(code, len(_TABLE) - 1)], 29 + code % 3)
-    keys = []  # number of the subsequence and, below it, of its gaps
-    for gap, (a, b) in enumerate(GAPS):
-        n = width - b
-        if n > 0:
-            key = ((s[:, :n] * SYMBOLS + s[:, a : n + a]) * SYMBOLS + s[:, b:]) * SYMBOLS
-            counts = (np.arange(n) < (size - b)[:, None]) & (s[:, :n] != MARK) & (s[:, a : n + a] != MARK) & (s[:, b:] != MARK)
-            keys.append(np.where(counts, key + gap, key + len(GAPS)))
-    key = np.sort(np.concatenate(keys, axis=1).astype(np.int32), axis=1)  # equal subsequences become one
+def _keys(batch: list[str]) -> np.ndarray:
+    """The subsequences of some strings between word ends in ascending order, one row each: a number and, in the low five bits, the number of its gaps."""
+    size = np.array([len(w) for w in batch])[:, None]
+    width = int(size.max()) + 2
+    code = np.frombuffer("".join(batch).encode("utf-32-le", "surrogatepass"), np.uint32)
+    place = np.arange(width)
+    s = np.full((len(batch), width), _NONE, np.int32)
+    s[(place > 0) & (place <= size)] = np.where(code < len(_TABLE), _TABLE[np.minimum(code, len(_TABLE) - 1)], 29 + code % 3)
+    s[(place == 0) | (place == size + 1)] = 0
+    s[s == MARK] = _NONE
+    one, two, three = s * SYMBOLS**3, s * SYMBOLS**2, s * SYMBOLS
+    key = np.concatenate([one[:, : width - b] + two[:, a : width - b + a] + (three[:, b:] + gap) for gap, (a, b) in enumerate(GAPS) if b < width], axis=1)
+    key[key >= _NONE * SYMBOLS] = len(GAPS)  # holds a mark or ends behind the string: weighs nothing
+    key.sort(axis=1)
+    return key
+
+
+def _sums(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of all keys; of equal subsequences of a row, the place of the first and the sum of the weights."""
     at, weight = key >> 5, _WEIGHTS[key & 31]
-    cell = np.cumsum(np.c_[np.zeros(len(at), bool), at[:, 1:] != at[:, :-1]], axis=1) + np.arange(len(at))[:, None] * at.shape[1]
-    total = np.bincount(cell.ravel(), weight.ravel(), at.size).reshape(at.shape)
-    first = np.zeros(at.size, np.int64)
-    first[cell.ravel()] = at.ravel()
-    first = first.reshape(at.shape)
-    norm = np.sqrt((total**2).sum(axis=1, keepdims=True))
-    return first, total / np.where(norm > 0, norm, 1)
+    new = np.ones(key.shape, bool)
+    new[:, 1:] = at[:, 1:] != at[:, :-1]
+    first = np.flatnonzero(new)
+    return weight, first, np.add.reduceat(weight.ravel(), first)
+
+
+def _norms(first: np.ndarray, total: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    norm = np.sqrt(np.add.reduceat(total * total, np.searchsorted(first, np.arange(shape[0]) * shape[1])))
+    return np.where(norm > 0, norm, 1)
+
+
+def subsequences(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and weights of the subsequences of some strings, one row each; of equal ones the first holds all the weight."""
+    key = _keys(batch)
+    _, first, total = _sums(key)
+    share = np.zeros(key.size)
+    share[first] = total
+    return key >> 5, share.reshape(key.shape) / _norms(first, total, key.shape)[:, None]
 
 
 def values(found: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
@@ -111,8 +126,9 @@ def values(found: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     order = sorted(range(len(found)), key=lambda i: len(found[i]))
     for start in range(0, len(found), BATCH):
         rows = order[start : start + BATCH]
-        at, share = subsequences([found[i] for i in rows])
-        out[rows] = (weights[at] * share).sum(axis=1) + bias
+        key = _keys([found[i] for i in rows])
+        weight, first, total = _sums(key)
+        out[rows] = np.einsum("ij,ij->i", weights[key >> 5], weight) / _norms(first, total, key.shape) + bias
     return out
 
 
