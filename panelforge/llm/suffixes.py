@@ -37,7 +37,7 @@ GRAM = 64
 DEPTH = 8
 BLOCK = 1 << 18
 SHARD = 1 << 18
-TASK_BYTES = 2 << 20
+TASK_BYTES = 1 << 20
 HOT = 4000
 CORE = 32
 _RNG = np.random.default_rng(20240607)
@@ -321,9 +321,7 @@ def _cutter(words: int):
 
 def _cut(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in slices(batches, "text", 4 << 20):
         sizes, removed, kept = [], [], []
         for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
             data = text.encode()
