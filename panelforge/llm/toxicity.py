@@ -267,7 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     for (y, part), n in counts.items():
         near |= (F.col("y") == y) & (F.col("part") == part) & (mark < int((1 << 32) * min(1.0, 2 * MAX_DOCS / n + 1e-9)))
     ranks = Window.partitionBy("y", "part").orderBy(mark, "doc_id")
-    chosen = known.where(near).withColumn("n", F.row_number().over(ranks)).where(F.col("n") <= MAX_DOCS).drop("n")
+    ranked = known.where(near).withColumn("n", F.row_number().over(ranks))
+    chosen = staged(ranked.where(F.col("n") <= MAX_DOCS).drop("n"), "chosen")  # 4 * MAX_DOCS small rows by construction: with their size known, texts join them where they lie
     sample = staged(docs.select("doc_id", whole().alias("text")).join(chosen, "doc_id").select("y", "part", "text"), "sample")
     sentences = sample.where("NOT part").select("y", "text").mapInArrow(_sentences, "y int, sentence string").distinct()
     units = sentences.mapInArrow(_units, "unit string, toxic long, clean long")
