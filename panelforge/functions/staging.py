@@ -13,7 +13,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,15 +44,19 @@ def _own_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` once and read it back. Inside ``releasing`` the table goes at the end, unless ``keep``."""
+def staged(df: DataFrame, name: str, keep: bool = False, parts: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once and read it back. Inside ``releasing`` the table goes at the end, unless ``keep``.
+
+    With ``parts`` (columns of few values) the table has a folder per value, so a filter on them reads its own files only.
+    """
     spark = df.sparkSession
     path = stage_path(spark, name)
     with _own_shuffles(spark):
-        df.write.parquet(path)
+        (df.hint("rebalance", *parts).write.partitionBy(*parts) if parts else df.write).parquet(path)
     if _open and not keep:
         _open[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return back.select(*df.columns) if parts else back
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -82,15 +86,15 @@ def input_state(spark: SparkSession, folder: str) -> tuple:
 _published: dict[tuple, DataFrame] = {}
 
 
-def published(name: str) -> Callable:
-    """Decorator for a step ``fn(spark, folder)`` of a daily run whose table later steps read."""
+def published(name: str, parts: Sequence[str] = ()) -> Callable:
+    """Decorator for a step ``fn(spark, folder)`` of a daily run whose table later steps read; ``parts`` as in ``staged``."""
 
     def wrap(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         @functools.wraps(fn)
         def read(spark: SparkSession, folder: str) -> DataFrame:
             key = (spark.sparkContext.applicationId, folder, name, input_state(spark, folder))
             if key not in _published:
-                _published[key] = staged(fn(spark, folder), name)
+                _published[key] = staged(fn(spark, folder), name, parts=parts)
             return _published[key]
 
         return read

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from panelforge.functions.numeric import safe_ratio
 from panelforge.functions.ranking import average_rank, order_statistics, position_table, quantiles, rank_many
+from panelforge.functions.staging import staged
 from panelforge.functions.windows import Axis, MARKET
 
 TK = Axis(("tk",), "d")
@@ -238,8 +239,8 @@ def checks(split: DataFrame, folds: DataFrame, pred: str, holdout: Column, bound
 
 
 def _lookup(stats: DataFrame, keys: Sequence[str], value: Column) -> Column:
-    """One small table of statistics as a map value keyed by the joined keys."""
-    return stats.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", *keys), value)))).scalar()
+    """One small table of statistics as a map value keyed by the joined keys. Written first: what is derived from it would compute it again at every use."""
+    return staged(stats, "statistics").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", *keys), value)))).scalar()
 
 
 def prepare_folds(rows: DataFrame, features: Sequence[str], flags: FlagMap, limit: float = 0.01) -> DataFrame:
@@ -283,28 +284,70 @@ def prepare_folds(rows: DataFrame, features: Sequence[str], flags: FlagMap, limi
     return out.withColumns({c: scaled(c) for c in features}).drop("_b", "_s")
 
 
-def fit_folds(df: DataFrame, features: Sequence[str], target: str, folds: Sequence[int], half_life_days: int = 365, trees: int = 20, depth: int = 4):
+def fold_decay(df: DataFrame, half_life_days: int) -> DataFrame:
+    """Last date and mean raw weight of every fold (fold, last, mean), from one count per fold and date; see ``decayed``."""
+    w = Window.partitionBy("fold")  # one row per date of a fold
+    days = df.groupBy("fold", "d").agg(F.count(F.lit(1)).alias("_n")).withColumn("last", F.max("d").over(w))
+    age = F.exp(-math.log(2.0) * F.date_diff("last", "d") / half_life_days)
+    return days.groupBy("fold").agg(F.max("last").alias("last"), (F.sum(F.col("_n") * age) / F.sum("_n")).alias("mean"))
+
+
+def decayed(last: Column, mean: Column, half_life_days: int) -> Column:
+    """The weight of ``time_decay`` for a row of a fold."""
+    return F.exp(-math.log(2.0) * F.date_diff(last, "d") / half_life_days) / mean
+
+
+def fit_folds(
+    df: DataFrame, features: Sequence[str], target: str, folds: Sequence[int], half_life_days: int = 365, trees: int = 20, depth: int = 4, store: str | None = None
+):
     """Weighted forest per fold on prepared fold rows; returns (a prediction for every test row, importances).
 
     ``trees`` and ``depth`` size the forest (published: 1000 and 6). Features still missing after preparation count as
-    zero, which is the training mean; training rows need a target, test rows do not.
+    zero, which is the training mean; training rows need a target, test rows do not. A table partitioned by fold and part
+    is read fold by fold. With ``store`` (a shared folder) each fold's fitted forest is written below it, and the importances
+    carry its path in ``model``.
     """
+    from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     whole = df.fillna(0.0, subset=list(features))
-    ready = VectorAssembler(inputCols=list(features), outputCol="_x").transform(whole)
+    learned = whole.where((F.col("part") == "train") & F.col(target).isNotNull())
+    decays = {r.fold: decayed(F.lit(r.last), F.lit(r.mean), half_life_days) for r in fold_decay(learned, half_life_days).collect()}  # one row per fold
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
+    forest = RandomForestRegressor(featuresCol="_x", labelCol=target, weightCol="weight", numTrees=trees, maxDepth=depth, seed=7)
     preds, imps = None, None
     for fold in folds:
-        train = time_decay(ready.where((F.col("fold") == fold) & (F.col("part") == "train") & F.col(target).isNotNull()), half_life_days)
-        model = RandomForestRegressor(featuresCol="_x", labelCol=target, weightCol="weight", numTrees=trees, maxDepth=depth, seed=7).fit(train)
-        test = model.transform(ready.where((F.col("fold") == fold) & (F.col("part") == "test"))).select("tk", "d", "fold", target, F.col("prediction"))
-        gain = df.sparkSession.createDataFrame([(fold, c, float(v)) for c, v in zip(features, model.featureImportances.toArray())], "fold int, name string, gain double")
+        model = Pipeline(stages=[assembler, forest]).fit(learned.where(F.col("fold") == fold).withColumn("weight", decays[fold]))
+        path = f"{store.rstrip('/')}/fold={fold}" if store else None
+        if path:
+            model.write().save(path)
+        test = model.transform(whole.where((F.col("fold") == fold) & (F.col("part") == "test"))).select("tk", "d", "fold", target, F.col("prediction"))
+        weights = model.stages[-1].featureImportances.toArray()
+        gain = df.sparkSession.createDataFrame([(fold, c, float(v), path) for c, v in zip(features, weights)], "fold int, name string, gain double, model string")
         preds = test if preds is None else preds.unionByName(test)
         imps = gain if imps is None else imps.unionByName(gain)
     return preds, imps
 
 
+def score_stored(df: DataFrame, path: str, features: Sequence[str], out: str = "score") -> DataFrame:
+    """Scores of a forest that ``fit_folds`` stored; each worker receives the forest once (its size is trees times leaves, not rows).
+
+    ``features`` must be the stored list in its order, and every one a column of ``df``; missing values count as zero, as in fitting.
+    """
+    from pyspark.ml import PipelineModel
+
+    model = PipelineModel.load(path)
+    stored = model.stages[0].getInputCols()
+    if list(features) != stored:
+        raise ValueError(f"features {list(features)} are not the stored ones {stored}")
+    if absent := [c for c in stored if c not in df.columns]:
+        raise ValueError(f"columns missing: {absent}")
+    kept = [F.col(c).alias(f"_keep_{c}") for c in stored]
+    scored = model.transform(df.select("*", *kept).fillna(0.0, subset=stored))
+    return scored.select(*[F.col(f"_keep_{c}").alias(c) if c in stored else F.col(c) for c in df.columns], F.col("prediction").alias(out))
+
+
 def score_panel(df: DataFrame, features: Sequence[str], model: Callable[[pd.DataFrame], pd.Series], out: str = "score") -> DataFrame:
     """Scores of a user's fitted model, batch by batch; ``model`` maps a frame of the features to one number per row."""
 

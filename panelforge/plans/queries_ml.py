@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelforge.functions.numeric import floor_round
-from panelforge.functions.staging import published
+from panelforge.functions.staging import published, stage_path
 from panelforge.functions.windows import Axis
 from panelforge.operators import bars as B
 from panelforge.operators import features as E
@@ -254,7 +254,7 @@ FEATURES = ("return_21d", "volatility_20d", "mom_12_1")
 TREES, DEPTH = 20, 4
 
 
-@published("fold_rows")
+@published("fold_rows", parts=("fold", "part"))
 def fold_rows(spark, sf):
     return ML.prepare_folds(ML.assign_folds(training(spark, sf), folds(spark, sf)), FEATURES, FLAGS)
 
@@ -293,7 +293,7 @@ def walk_forward(spark, sf):
     """Predictions (with a date) and importances (with a name) of every fold, fitted once."""
     rows = fold_rows(spark, sf)
     fitted = [x.fold for x in folds(spark, sf).orderBy("fold").collect()]
-    preds, gains = ML.fit_folds(rows, FEATURES, "target", fitted, trees=TREES, depth=DEPTH)
+    preds, gains = ML.fit_folds(rows, FEATURES, "target", fitted, trees=TREES, depth=DEPTH, store=stage_path(spark, "forests"))
     return preds.unionByName(gains, allowMissingColumns=True)
 
 
@@ -334,6 +334,32 @@ def ml_score_panel(spark, sf):
     return ML.score_panel(base(spark, sf), FEATURES, model).select("tk", "d", floor_round("score").alias("score"))
 
 
+@published("holdout_scores")
+def holdout_scores(spark, sf):
+    """Rows from the holdout date on, prepared with the last fold's training rows and scored by its stored forest."""
+    last = walk_forward(spark, sf).where("model IS NOT NULL").select("fold", "model").orderBy(F.desc("fold")).first()
+    train = ML.assign_folds(training(spark, sf), folds(spark, sf)).where((F.col("fold") == last.fold) & (F.col("part") == "train"))
+    later = split(spark, sf).where("part = 'holdout'").withColumn("fold", F.lit(last.fold))
+    ready = ML.prepare_folds(train.unionByName(later), FEATURES, FLAGS)
+    return ML.score_stored(ready.where("part = 'holdout'"), last.model, FEATURES).select("tk", "d", "target", "score")
+
+
+@query("ml_score_holdout")
+def ml_score_holdout(spark, sf):
+    return holdout_scores(spark, sf)
+
+
+@query(
+    "ml_score_holdout_coverage",
+    "SELECT tier, count(*) AS n, count(*) AS n_scored, min(d) AS first_d, max(d) AS last_d FROM mls WHERE part = 'holdout' GROUP BY tier",
+    ("mls",),
+)
+def ml_score_holdout_coverage(spark, sf):
+    """Every holdout row has one score."""
+    told = holdout_scores(spark, sf).join(base(spark, sf).select("tk", "d", "tier"), ["tk", "d"])
+    return told.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
+
+
 @query(
     "ml_feature_columns",
     " UNION ALL ".join(
