@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from panelforge.plans import queries_bars
 from panelforge.sources import panel as P
 
 LINE = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate date"
@@ -22,3 +23,13 @@ def test_bars_are_written_once_and_follow_their_input(spark, tmp_path):
     assert {tuple(r) for r in one.collect()} == want
     lines(spark, sf, [(5, 2, 1, 1.0, 40.0, day)], "append")
     assert {tuple(r) for r in P.bars(spark, sf).where("tk = 'Brand#12'").collect()} == {("Brand#12", day, 40.0, 40.0, 30.0, 35.0, 2)}
+
+
+def test_parts_meet_the_feed_without_the_driver(spark):
+    """However few the parts are, they are shuffled: what the driver gets must not grow with them."""
+    sf = "/root/testdata/sf0.001"
+    for df in (P.bars.__wrapped__(spark, sf), queries_bars.bars_universe_semi(spark, sf).select("tk")):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        with_part = [line for line in plan.splitlines() if "l_partkey" in line and "Join" in line]
+        assert with_part and all("SortMergeJoin" in line for line in with_part)
