@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelforge.llm import suffixes
@@ -85,5 +86,30 @@ def test_merge_of_shards_against_sorting():
         assert [f.tolist() for f in suffixes.repeated_windows(strings, 24, size)] == want
 
 
+def test_a_merge_holds_whole_grams_of_bounded_size():
+    rng = random.Random(5)
+    rows = sorted((rng.choice([-7, -1, 0, 2, 9, 40, 41]), i, 1, bytes(rng.randrange(1, 60))) for i in range(300))
+    names = ["gram", "bytes", "n", "body"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[a : a + 11]], schema=pa.schema(list(zip(names, [pa.int64()] * 3 + [pa.binary()])))) for a in range(0, 311, 11)]
+    for limit in (1, 2500, 1 << 20):
+        parts = [[tuple(r.values()) for r in t.to_pylist()] for t in suffixes.whole_grams(iter(batches), limit)]
+        assert [r for p in parts for r in p] == rows
+        seen = Counter(g for p in parts for g in {r[0] for r in p})
+        assert set(seen.values()) == {1} and (len(parts) == 7) == (limit == 1) and (len(parts) == 1) == (limit == 1 << 20)
+        assert all(sum(len(r[3]) for r in p if r[0] != p[-1][0]) < limit for p in parts)
+    assert not list(suffixes.whole_grams(iter([]), 1))
+
+
+def test_merges_of_any_size_decide_alike(spark):
+    rng = random.Random(6)
+    bases = [bytes(rng.choice(b"abcd") for _ in range(400)) for _ in range(4)]
+    rows = [(g, i, rng.choice([1, 1, 1, 2]), bytes((b := bases[g % 4])[(a := rng.randrange(0, 200)) : a + rng.randrange(128, 200)])) for i in range(80) for g in [rng.randrange(12)]]
+    held = spark.createDataFrame(rows, "gram long, bytes long, n long, body binary").repartition(1).sortWithinPartitions("gram")
+    plain = sorted((g, i) for g, i, n, b in rows if n == 1 and any(b[k : k + 128] in o for h, j, _, o in rows if h == g and j != i for k in range(len(b) - 127)))
+    one, many = ([(r.gram, r.bytes, r.spans) for r in suffixes.decide(held, 128, limit).sort("gram", "bytes").collect()] for limit in (1 << 20, 1))
+    assert many and [r[:2] for r in many] == plain
+    assert len(one) >= len(many) and {r[:2] for r in many} <= {r[:2] for r in one}  # bases are shared by grams here, which windows of a gram never are
+
+
 def test_empty(spark):
     assert suffixes.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
